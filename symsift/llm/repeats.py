@@ -337,7 +337,7 @@ def cut_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["anchor", "ctx", "bytes"])
 
 
-CUT_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<a:int,b:int>>"
+CUT_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept {}, removed array<struct<a:int,b:int>>"
 
 
 def union_of(spans: list[dict] | None) -> list[list[int]]:
@@ -350,8 +350,8 @@ def union_of(spans: list[dict] | None) -> list[list[int]]:
     return out
 
 
-def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, z, spans) -> kept bytes and counts."""
+def cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, z, spans) -> kept bytes, or the whole characters among them, and counts."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -365,15 +365,15 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(data[at:a])
                     at = b
                 kept.append(data[at:])
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), b"".join(kept), [{"a": a, "b": b} for a, b in gone]))
+                rows.append((len(data), sum(b - a for a, b in gone), len(gone), b"".join(kept).decode("utf-8", "ignore") if as_text else b"".join(kept), [{"a": a, "b": b} for a, b in gone]))
             yield pa.record_batch(
-                [part.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), SPANS)))],
+                [part.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), SPANS)))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"],
             )
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept (bytes), removed (spans)."""
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS, as_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept (bytes, or text), removed (spans)."""
     if width % 8 or gram >= width:
         raise ValueError("width: a multiple of 8, above gram")
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -405,7 +405,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     spans = runs.join(found, ["anchor", "ctx"]).select("k1", "k2", F.explode(moved).alias("s"))
     spans = save(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
     rows = src.mapInArrow(packed_rows, f"doc_id {id_type}, k1 long, k2 long, z binary").join(spans, ["k1", "k2"], "left")
-    return rows.select("doc_id", "z", "spans").mapInArrow(cut_texts, f"doc_id {id_type}, {CUT_SCHEMA}").withColumnRenamed("doc_id", id_col)
+    return rows.select("doc_id", "z", "spans").mapInArrow(lambda b: cut_texts(b, as_text), f"doc_id {id_type}, {CUT_SCHEMA.format('string' if as_text else 'binary')}").withColumnRenamed("doc_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
