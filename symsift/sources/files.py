@@ -124,45 +124,40 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 class IndexStore:
     """The occurrence table on disk, partitioned by language, versioned by folder.
 
-    A change writes the new version of the touched languages beside the old one
-    and then moves a pointer, so a reader sees one version or the other and a
-    failed write leaves the old one in place.
+    A write goes to a staging folder that is then renamed to the next version,
+    so a reader sees one version or the other and a failed write leaves the old
+    one in place.  The version before the last stays for readers still in it.
     """
 
     spark: SparkSession
     path: str
     schema: T.StructType = field(default_factory=lambda: T.StructType([*SCHEMA.fields, T.StructField("lang", T.StringType())]))
 
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
-
-    def current(self) -> str | None:
-        fs, p = self._fs(self._pointer())
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(self._pointer()).first()[0]
-
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def versions(self) -> list[int]:
+        fs, p = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version-{version:09d}"
+
     def read(self) -> DataFrame:
-        version = self.current()
-        return self.spark.read.schema(self.schema).parquet(version) if version else self.spark.createDataFrame([], self.schema)
+        have = self.versions()
+        return self.spark.read.schema(self.schema).parquet(self._folder(have[-1])) if have else self.spark.createDataFrame([], self.schema)
 
     def write(self, rows: DataFrame) -> None:
-        version = f"{self.path}/version={uuid.uuid4().hex}"
+        have = self.versions()
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         ordered = rows.select(*self.schema.names).repartition("lang", "directory").sortWithinPartitions("directory", "filename", "line", "seq")
-        ordered.write.partitionBy("lang").parquet(version)
-        old = self.current()
-        staged = f"{self.path}/next-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(staged)
-        fs, pointer = self._fs(self._pointer())
-        fs.delete(pointer, True)
-        fs.rename(self._fs(staged)[1], pointer)
-        if old:
-            fs.delete(self._fs(old)[1], True)
+        ordered.write.partitionBy("lang").parquet(staged)
+        fs, source = self._fs(staged)
+        fs.rename(source, self._fs(self._folder(have[-1] + 1 if have else 1))[1])
+        for old in have[:-1]:
+            fs.delete(self._fs(self._folder(old))[1], True)
 
     def delete_files(self, files: DataFrame) -> None:
         """Rows of (directory, filename) go."""
