@@ -11,9 +11,10 @@ similarity.
 *Candidates.*  ``rows`` coordinates make a band; texts that share a band are
 linked to one member of its bucket, never to all.  After each round of exact
 checks and connected components only buckets whose members are still in
-different classes go on, with other members to link to; what is left after
-``rounds`` rounds is compared in full across classes.  So a group of n copies
-costs about n checks, and no link inside a bucket is lost.
+different classes go on, with other members to link to.  What is left after
+``rounds`` rounds is compared across classes in full, bucket by bucket, in
+blocks of bounded size; only links leave a task.  So a group of n copies costs
+about n checks, and no link inside a bucket is lost.
 
 *Checks* compare the shingle sets themselves: ``threshold`` or more is a link.
 A class is a connected component of links.  With 24 bands of 4 a pair at 0.8
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import MASK64, U64, Rolling, mix, save
 from .pieces import SPACE, char_classes, char_codes, chunks, ranges
 
-WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 4
+WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 1
+BLOCK = 4096
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -172,6 +174,59 @@ def check_pairs(batches: Iterator[pa.RecordBatch], words: int, weighted: bool, t
         yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def cross_links(batches: Iterator[pa.RecordBatch], words: int, weighted: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between classes inside each group of rows (h, i, j, tid, label, z), which come in order.
+
+    Exact overlaps of one text with all others at once, through the postings of
+    its shingles; texts of the group's largest class need not ask.  A found
+    link joins its classes at once, so a group gives fewer links than classes.
+    """
+    unpack = zstandard.ZstdDecompressor()
+    known: dict[bytes, np.ndarray] = {}
+
+    def set_of(tid: bytes, z: bytes) -> np.ndarray:
+        got = known.get(tid)
+        if got is None:
+            if len(known) > 20_000:
+                known.clear()
+            got = known[tid] = elements([unpack.decompress(z).decode("utf-8", "surrogatepass")], words, weighted)[1]
+        return got
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        sets = [set_of(r[3], r[5]) for r in rows]
+        size = np.array([len(x) for x in sets])
+        _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(shingle, kind="stable")
+        posting = owner[order]
+        begin = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+        _, label = np.unique([r[4] for r in rows], return_inverse=True)
+        at = np.cumsum(size) - size
+        a, b = [], []
+        most = int(np.bincount(label).argmax())
+        for x in np.flatnonzero(label != most):
+            own = shingle[at[x] : at[x] + size[x]]
+            n = begin[own + 1] - begin[own]
+            inter = np.bincount(posting[np.repeat(begin[own], n) + ranges(n)], minlength=len(rows))
+            near = np.flatnonzero((inter / (size[x] + size - inter) >= threshold) & (label != label[x]))
+            for y in near:
+                if label[y] != label[x]:
+                    a.append(rows[x][3])
+                    b.append(rows[y][3])
+                    label[label == label[y]] = label[x]
+        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and rows[-1][:3] != r[:3]:
+                yield links(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield links(rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(tid, label) for every end of an edge (a, b): label is the least tid of the component."""
     both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -215,20 +270,22 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words:
             salt = F.struct(F.xxhash64("tid", "h", F.lit(number)).alias("o"), "tid", "label")
             reps = open_.groupBy("h").agg(F.min(salt).alias("r"))
             new = open_.join(reps, "h").where(F.col("label") != F.col("r.label")).select(F.col("tid").alias("a"), F.col("r.tid").alias("b"))
-        else:  # all that is left, between each bucket's classes; the largest class is only one side
-            sizes = open_.groupBy("h", "label").count()
-            most = sizes.groupBy("h").agg(F.max(F.struct("count", "label")).alias("m")).select("h", F.col("m.label").alias("most"))
-            small = open_.join(most, "h").where("label != most").select("h", F.col("tid").alias("a"), F.col("label").alias("la"), "most")
-            large = open_.select("h", F.col("tid").alias("b"), F.col("label").alias("lb"))
-            new = small.join(large, "h").where("la != lb AND (lb = most OR a < b)").select("a", "b")
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = save(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = save(checked(new), "links")
-        if number == rounds and found.limit(1).count() == 0:
-            return labels, links
+            new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            new = save(new.join(done, ["a", "b"], "left_anti"), "pairs")
+            found = save(checked(new), "links")
+            tried = save(tried.union(new), "pairs")
+        else:  # all that is left across classes: every pair of blocks of each bucket
+            blocks = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            cut = open_.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")))
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            cut = cut.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "label")
+            parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            cut = cut.join(texts, "tid").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "tid")
+            found = save(cut.select("h", "i", "j", "tid", "label", "z").mapInArrow(lambda b: cross_links(b, words, weighted, threshold), "a binary, b binary").distinct(), "links")
+            if found.limit(1).count() == 0:
+                return labels, links
         links = save(links.union(found), "links")
-        tried = save(tried.union(new), "pairs")
     return components(links), links
 
 
