@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Rolling, mix, save
 
-WIDTH, GRAM, BLOCK_CONTEXTS = 200, 64, 2048
+WIDTH, GRAM, BLOCK_CONTEXTS = 200, 64, 16384
 SEGMENT = 1 << 20  # anchors' places take 20 bits
 _rng = np.random.default_rng(20240229)
 TABLES = _rng.integers(1, 1 << 63, (3, 256), dtype=np.int64).astype(U64) * U64(2) + U64(1)
