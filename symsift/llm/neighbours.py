@@ -14,8 +14,9 @@ exactly, in double precision, on the original vectors, and only the best of a
 block leave it.  Leaves are cut into blocks of bounded size, so a crowded leaf
 spreads over tasks.
 
-Fitting takes at most ``sample_rows`` vectors; all rows are indexed.  With no
-more rows than fit in the leaves taken the answer is exact.  Vectors that are
+Fitting takes at most ``sample_rows`` different vectors, of which a group of
+copies is one; all rows are indexed.  With no more different vectors than fit in
+the leaves taken the answer is exact.  Vectors that are
 null, zero, of another length than most, or hold null or non-finite components
 take no part, as queries or as candidates.  Rows may repeat: each is a
 candidate of its own, but a row's own id is never its neighbour.
@@ -171,14 +172,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     if width is None:
         return rows.sparkSession.createDataFrame([], out_schema)
     base = base.where(F.size("v") == width["n"])
-    share = max(share, min(1.0, least / width["count"]))
-    sample = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()  # a bounded sample
-    forest = Forest(unit(np.array([r["v"] for r in sample])).astype(np.float32), trees, depth)
-
     same = Window.partitionBy("h1", "h2").orderBy("id")
     hashed = base.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2"))
     few = hashed.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    entries = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("ids", "v")
+    entries = save(few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("ids", "v"), "entries")
+    share = max(share, min(1.0, least / entries.count()))
+    first = F.col("ids")[0]
+    sample = entries.select("v").orderBy(F.xxhash64(first), first).limit(sample_rows).collect()  # a bounded sample of different vectors
+    forest = Forest(unit(np.array([r["v"] for r in sample])).astype(np.float32), trees, depth)
     index = save(entries.mapInArrow(lambda b: index_rows(b, forest), "tree int, leaf int, ids array<long>, v array<double>"), "index")
     sizes = index.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # trees * 2**depth rows
     cut = index.join(F.broadcast(sizes), ["tree", "leaf"])

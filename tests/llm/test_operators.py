@@ -147,6 +147,25 @@ def test_media(spark):
 
 
 # 7
+def test_neighbours_recall_with_copies(spark):
+    """A vector that a third of the rows share costs the other queries nothing."""
+    rng = np.random.default_rng(7)
+    n, x = 9000, rng.normal(size=(9000, 64))
+    x[rng.permutation(n)[: n // 3]] = x[0]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 1, least=0).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = [q for q in range(1, n, 50) if not np.array_equal(x[q], x[0])]
+    hits = 0
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.lexsort((np.arange(n), -np.round(s, 12)))[:5].tolist()))
+    assert hits / (len(asked) * 5) >= 0.9
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learn(language.train_rows(docs))
