@@ -8,9 +8,10 @@ sum wins.  The score is ``1 - smallest / second smallest``; a text of at least
 ``EVIDENCE`` bytes whose score is below ``min_margin`` is rejected (a few words
 compress to too few bytes for their margin to say much).
 
-Learning takes a bounded sample: at most ``sample_docs`` texts of up to
-``sample_chars`` characters per language, in order of a hash, until
-``dict_bytes`` are full, and at most ``max_languages`` languages.
+Learning takes a bounded sample: at most ``sample_docs`` different texts per
+language, in order of a hash, until ``dict_bytes`` are full, and at most
+``max_languages`` languages.  Of a text over ``sample_chars`` characters so many
+from its first letter on are taken.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.
 With one language learned the score is 1, with none every text is ``und``.
@@ -35,8 +36,10 @@ MIN_MARGIN = 0.002
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 300, sample_chars: int = 6000, dict_bytes: int = 96 << 10, max_languages: int = 256) -> dict[str, bytes]:
     """lang -> dictionary content."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.where(F.length("text") <= sample_chars)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    from_letter = F.regexp_replace("text", r"^\P{L}+", "")  # a cut keeps a letter
+    rows = rows.withColumn("text", F.when(F.length("text") > sample_chars, F.substring(from_letter, 1, sample_chars)).otherwise(F.col("text")))
+    different = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
     place = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)

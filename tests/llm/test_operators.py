@@ -166,6 +166,17 @@ def test_neighbours_recall_with_copies(spark):
     assert hits / (len(asked) * 5) >= 0.9
 
 
+def test_language_learns_different_texts(spark):
+    """Copies take no places of the sample; long texts are cut, not left out."""
+    few = [f"text {chr(97 + i)} of few" for i in range(20)]
+    rows = [("many copies", "aa")] * 5000 + [(t, "aa") for t in few] + [("1" * 7000 + "lang " * 2000, "bb")] * 2 + [("kurz " * 2000, "cc"), ("klein", "cc")]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model) == {"aa", "bb", "cc"}
+    assert sorted(model["aa"].decode().split("\n")[:-1]) == sorted([*few, "many copies"])
+    assert model["bb"] == ("lang " * 1200).encode() + b"\n"
+    assert len(model["cc"]) == 6000 + 1 + len("klein") + 1
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learn(language.train_rows(docs))
