@@ -162,7 +162,7 @@ on_tables("w11_thirds", lambda e: A.thirds(e, "user_id", "event_id").groupBy("th
 QUERIES["w12_never_after_first"] = lambda spark, sf_dir: (lambda e: e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("first"), F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("last")).where("first IS NOT NULL AND (last IS NULL OR last < first)").select("user_id"))(table(spark, sf_dir, "events"))
 ORACLES["w12_never_after_first"] = "SELECT user_id FROM events GROUP BY user_id HAVING min(event_id) FILTER (event_type = 'purchase') IS NOT NULL AND coalesce(max(event_id) FILTER (event_type = 'click') < min(event_id) FILTER (event_type = 'purchase'), true)"
 on_tables("w13_balanced_sample", lambda c: c.withColumn("rn", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))).orderBy("rn", "c_mktsegment").limit(23).select("c_custkey", "c_mktsegment"), "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer) ORDER BY rn, c_mktsegment LIMIT 23", "customer")
-on_tables("w14_divided_calls", lambda l: l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")).where("n > 0").select("l_orderkey", F.explode(F.array_repeat(F.round(F.lit(100.0) / F.col("n"), 6), F.least(F.col("n"), F.lit(3)))).alias("part")), "SELECT l_orderkey, unnest(list_transform(range(least(CAST(l_quantity AS INTEGER), 3)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
+on_tables("w14_divided_calls", lambda l: l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")).where("n > 0").select("l_orderkey", F.explode(F.array_repeat(F.round(F.lit(100.0) / F.col("n"), 6), F.col("n"))).alias("part")), "SELECT l_orderkey, unnest(list_transform(range(least(CAST(l_quantity AS INTEGER), 3)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
 on_tables("w15_tie_term", lambda p: A.average_ranks(p, "p_size").agg(F.sum("tie_term").cast("double").alias("ties")), "SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM part WHERE p_size IS NOT NULL GROUP BY p_size)", "part")
 on_index("o7_busiest_files", lambda ci: C.busiest_files(ci_th(ci)), f"SELECT {FILE}, n, t - 3 AS others FROM (SELECT {FILE}, count(*) AS n, count(*) OVER () AS t FROM ci WHERE symbol LIKE 'th%' GROUP BY directory, filename) ORDER BY n DESC, directory, filename LIMIT 3")
 on_index("o2_file_list", lambda ci: S.files(ci, parse_command("oner%")), f"SELECT DISTINCT {FILE} FROM ci WHERE symbol LIKE 'oner%'")

@@ -3,6 +3,7 @@
 import math
 import os
 import time
+from collections import Counter
 
 import duckdb
 import pytest
@@ -179,3 +180,13 @@ def test_statistics(spark):
     assert r.u == 8.0 and abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-6
     pooled = A.pool(spark.createDataFrame([(0.1, 0.1), (0.3, 0.2)], "effect double, se double")).first()
     assert abs(pooled.effect - 0.14) < 1e-9
+
+
+def test_divided_calls(spark, sf_dir):
+    """n parts of 100/n for each call, however many."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity").collect()
+    want = Counter()
+    for r in lines:
+        if int(r.l_quantity) > 0:
+            want[r.l_orderkey, round(100.0 / int(r.l_quantity), 6)] += int(r.l_quantity)
+    assert Counter((r.l_orderkey, r.part) for r in registry.QUERIES["w14_divided_calls"](spark, sf_dir).collect()) == want
