@@ -208,8 +208,8 @@ _MWU = """WITH b AS (SELECT l_returnflag, l_quantity, rank() OVER (ORDER BY l_qu
 on_tables("a29_mann_whitney", lambda l: _r(_r(A.mann_whitney(l, "l_returnflag", "l_quantity", "A", "N"), "z"), "rank_biserial", k=9), _MWU.format("tt / ((na + nb) * (na + nb - 1))"), "lineitem")
 on_tables("a30_mann_whitney_plain", lambda l: _r(_r(A.mann_whitney(l, "l_returnflag", "l_quantity", "A", "N", False), "z"), "rank_biserial", k=9), _MWU.format("0"), "lineitem")
 _runs = lambda o: o.where("o_orderstatus IN ('F', 'O')").groupBy("o_orderpriority", "o_orderstatus", F.pmod("o_custkey", F.lit(7)).alias("rep")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
-on_tables("a31_bootstrap", lambda o: A.bootstrap_median_difference(_runs(o), "o_orderpriority", "o_orderstatus", "v", "F", "O", 500), None, "orders")
-on_tables("a32_log_ratio", lambda o: A.log_ratio(_runs(o), "o_orderpriority", "o_orderstatus", "v", "F", "O", 500), None, "orders")
+on_tables("a31_bootstrap", lambda o: A.bootstrap_median_difference(_runs(o), "o_orderpriority", "o_orderstatus", "v", "F", "O", 10_000), None, "orders")
+on_tables("a32_log_ratio", lambda o: A.log_ratio(_runs(o), "o_orderpriority", "o_orderstatus", "v", "F", "O", 10_000), None, "orders")
 _eff = lambda o: o.groupBy("o_orderpriority").agg(F.ln(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")))).alias("effect"), (F.stddev_samp("o_totalprice") / F.avg("o_totalprice") / F.sqrt(F.count("*"))).alias("se"))
 on_tables("a33_pooled_effect", lambda o: _r(A.pool(_eff(o)), "effect", "low", "high", "q", "i2", "pct"), "WITH e AS (SELECT ln(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O')) AS e, stddev_samp(o_totalprice) / avg(o_totalprice) / sqrt(count(*)) AS s FROM orders GROUP BY o_orderpriority), p AS (SELECT count(*) AS k, sum(1 / (s * s)) AS sw, sum(e / (s * s)) AS swe, sum(e * e / (s * s)) AS swee FROM e WHERE s > 0), r AS (SELECT k, swe / sw AS m, 1 / sqrt(sw) AS se, swee - swe * swe / sw AS q FROM p) SELECT k, round(m, 6) AS effect, round(m - 1.96 * se, 6) AS low, round(m + 1.96 * se, 6) AS high, round(q, 6) AS q, round(CASE WHEN q > 0 THEN greatest(0.0, (q - (k - 1)) / q) ELSE 0 END, 6) AS i2, round(exp(m) * 100 - 100, 6) AS pct FROM r", "orders")
 on_tables("a34_arm_ratios", lambda l: l.where("l_linestatus IN ('O', 'F')").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity")).select("l_returnflag", F.round(F.col("O") / F.col("F"), 9).alias("ratio")), "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'O') / avg(l_quantity) FILTER (l_linestatus = 'F'), 9) AS ratio FROM lineitem GROUP BY 1", "lineitem")

@@ -1,5 +1,6 @@
 """The occurrence engine: SQL twins, commands, patterns, extraction, store and watcher."""
 
+import inspect
 import math
 import os
 import time
@@ -190,3 +191,13 @@ def test_divided_calls(spark, sf_dir):
         if int(r.l_quantity) > 0:
             want[r.l_orderkey, round(100.0 / int(r.l_quantity), 6)] += int(r.l_quantity)
     assert Counter((r.l_orderkey, r.part) for r in registry.QUERIES["w14_divided_calls"](spark, sf_dir).collect()) == want
+
+
+def test_bootstrap_draws(spark, sf_dir, monkeypatch):
+    """The registered queries take the reference's 10,000 resamples."""
+    taken = []
+    for name in ("bootstrap_median_difference", "log_ratio"):
+        operator = getattr(A, name)
+        monkeypatch.setattr(A, name, lambda *a, f=operator, **b: taken.append(inspect.signature(f).bind(*a, **b).arguments["times"]) or f(*a, **b))
+    assert all(registry.QUERIES[name](spark, sf_dir).count() for name in ("a31_bootstrap", "a32_log_ratio"))
+    assert taken == [10_000, 10_000]
