@@ -5,8 +5,9 @@ sample texts.  A text, in lower case, is cut into stretches of ``STRETCH``
 bytes, all of which are compressed with every dictionary, each by itself, so
 that a long text can't feed on its own content; the language with the smallest
 sum wins.  The score is ``1 - smallest / second smallest``; a text of at least
-``EVIDENCE`` bytes whose score is below ``min_margin`` is rejected (a few words
-compress to too few bytes for their margin to say much).
+``EVIDENCE`` bytes whose score is below ``min_margin`` is rejected, a shorter one
+only on an exact tie (a few words compress to too few bytes for their margin to
+say more).
 
 Learning takes a bounded sample: at most ``sample_docs`` different texts per
 language, in order of a hash, until ``dict_bytes`` are full, and at most
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRETCH, LEVEL, EVIDENCE = 1024, 6, 256
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.015
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 300, sample_chars: int = 6000, dict_bytes: int = 96 << 10, max_languages: int = 256) -> dict[str, bytes]:
@@ -88,7 +89,7 @@ def predict_rows(batches: Iterator[pa.RecordBatch], model: tuple[tuple[str, byte
             order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
             langs.append(names[order[0]])
             scores.append(1 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0)
-            rejected.append(len(data) >= EVIDENCE and scores[-1] < min_margin)
+            rejected.append(scores[-1] < min_margin if len(data) >= EVIDENCE else scores[-1] == 0)
         yield pa.record_batch([*(batch.column(i) for i in range(3, batch.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names[3:], "lang_pred", "score", "rejected"])
 
 

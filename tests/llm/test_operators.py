@@ -177,6 +177,18 @@ def test_language_learns_different_texts(spark):
     assert len(model["cc"]) == 6000 + 1 + len("klein") + 1
 
 
+def test_language_rejects_noise(spark, sf_dir):
+    """Random letters and digits go, short ones on ties; held-out documents stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learn(language.train_rows(docs))
+    rng = random.Random(11)
+    noise = ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef") for n in (60, 1500) for _ in range(50)]
+    gone = [r.rejected for r in language.identify(table(spark, noise), model, {"doc_id": F.col("doc_id")}).collect()]
+    assert sum(gone) >= 0.95 * len(gone)
+    held = language.identify(docs.where(language.held_out(F.col("doc_id")) & (F.length("text") >= 256)), model, {"doc_id": F.col("doc_id")}).collect()
+    assert sum(r.rejected for r in held) <= 0.02 * len(held)
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learn(language.train_rows(docs))
