@@ -166,6 +166,16 @@ def test_neighbours_recall_with_copies(spark):
     assert hits / (len(asked) * 5) >= 0.9
 
 
+def test_neighbours_recall_on_the_table(spark, sf_dir):
+    """The forest itself, without the exact search of small tables."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asks = F.col("vec_id") % 50 == 0
+    got = {(r.query_id, r["rank"]): r.score for r in neighbours.nearest(df, asks, least=0).collect()}
+    want = {(r.query_id, r["rank"]): r.score for r in neighbours.nearest(df, asks).collect()}
+    kth = {q: min(v for (p, _), v in want.items() if p == q) for q, _ in want}
+    assert sum(v >= kth[q] - 1e-9 for (q, _), v in got.items()) >= 0.9 * len(want)
+
+
 def test_language_learns_different_texts(spark):
     """Copies take no places of the sample; long texts are cut, not left out."""
     few = [f"text {chr(97 + i)} of few" for i in range(20)]
