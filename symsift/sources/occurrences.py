@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import getpass
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symsift.functions.text import STOPWORDS, clean_word, search_key
 from symsift.schema import STORED
+from symsift.storage import scratch
 
 _built: dict[tuple[str, str], str] = {}
 
 
-def storage(spark: SparkSession) -> str:
-    """The folder for derived tables: the shared one that the cluster names, else one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file:///tmp/symsift-{getpass.getuser()}").rstrip("/")
-
-
 def from_documents(docs: DataFrame) -> DataFrame:
     """Words as occurrences: one pass over the lines, one shuffle for the class spans.
 
@@ -72,7 +64,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table of a folder of tables; the first call of a session builds it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        path = f"{storage(spark)}/symsift/{uuid.uuid4().hex}/occurrences"
+        path = scratch(spark, "occurrences")
         rows = from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
         rows.sortWithinPartitions("directory", "filename", "line", "seq").write.parquet(path)
         _built[key] = path
