@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-import getpass
-import uuid
+import contextlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from symsift.storage import discard, scratch
+
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder under /tmp is set and used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/symsift-{getpass.getuser()}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+SHORT = 48  # what sequence_hash mixes in place by place; the rest of a longer stretch is hashed at once
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage: what is read later survives the loss of any executor and is
-    not computed again.
+    not computed again.  The table goes when the driver ends, or with ``tidy``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/symsift/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
+    _saved.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_saved: list[str] = []
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Tables that were saved inside go at the end; only what was written elsewhere stays."""
+    at = len(_saved)
+    try:
+        yield
+    finally:
+        for path in _saved[at:]:
+            discard(spark, path)
+        del _saved[at:]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.empty(n, U64)
@@ -59,6 +65,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def sequence_hash(codes: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of codes[start : start + size] for every stretch, mixed value by value.
+
+    No polynomial: no structure of a stretch makes its hash predictable.
+    """
+    order = np.argsort(-size, kind="stable")
+    first, left = start[order], size[order]
+    h = mix(left.astype(U64) + U64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK64))
+    longest = int(left[0]) if len(left) else 0
+    active = np.searchsorted(-left, -np.arange(min(longest, SHORT)), side="left")  # how many are longer than each place
+    for i, n in enumerate(active.tolist()):
+        g = h[:n]
+        g ^= codes[first[:n] + i]
+        g *= U64(0xD6E8FEB86659FD93)
+        g ^= g >> U64(32)
+    for j in range(int(np.searchsorted(-left, -SHORT, side="left"))):  # the few long ones
+        h[j] ^= U64(xxhash.xxh3_64_intdigest(codes[first[j] + SHORT : first[j] + left[j]].tobytes(), seed & MASK64))
+    out = np.empty(len(h), U64)
+    out[order] = mix(h)
+    return out
+
+
+def ranges(sizes: np.ndarray) -> np.ndarray:
+    """0..n-1 for every n, one after another."""
+    total = int(sizes.sum())
+    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Rolling:
     """Polynomial hashes of any substring of an array, by prefix sums modulo 2**64."""
 

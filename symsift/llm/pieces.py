@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
-from .common import U64, Rolling, mix
+from .common import U64, ranges, sequence_hash
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 CHUNK = 1 << 20  # characters handled at once; a longer text is a chunk of its own
-_BASE = 0x9E3779B97F4A7C15
 
 
 @functools.cache
@@ -84,15 +83,34 @@ class Split:
         self.start = begin
         self.end = stop[np.searchsorted(stop, begin, side="right")] if len(begin) else begin
         self.text = np.searchsorted(ends, begin, side="right")
-        roll = Rolling(char_codes()[chars], _BASE)
-        self.hash = mix(roll.of(self.start, self.end) + (self.end - self.start).astype(U64))
-        _, self.sample, self.kind = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.size = self.end - self.start
+        codes = char_codes()[chars]
+        for seed in itertools.count():
+            self.hash = sequence_hash(codes, self.start, self.size, seed)
+            _, self.sample, self.kind = np.unique(self.hash, return_index=True, return_inverse=True)
+            if self._exact():
+                break
+
+    def _exact(self) -> bool:
+        """Whether pieces of one hash are one piece, character by character."""
+        twin = self.sample[self.kind]
+        other = np.flatnonzero(twin != np.arange(len(twin)))
+        twin = twin[other]
+        if not np.array_equal(self.size[other], self.size[twin]):
+            return False
+        size = self.size[other]
+        step = ranges(size)
+        return np.array_equal(self.chars[np.repeat(self.start[other], size) + step], self.chars[np.repeat(self.start[twin], size) + step])
+
+    def flat(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of the pieces of some kinds, one after another, and their lengths."""
+        sample = self.sample[kinds]
+        size = self.size[sample]
+        return self.chars[np.repeat(self.start[sample], size) + ranges(size)], size
 
     def different(self, kinds: np.ndarray | None = None) -> list[str]:
         """The different pieces, in the order of kind, or those asked for."""
-        sample = self.sample if kinds is None else self.sample[kinds]
-        size = self.end[sample] - self.start[sample]
-        flat = self.chars[np.repeat(self.start[sample], size) + ranges(size)]
+        flat, size = self.flat(np.arange(len(self.sample)) if kinds is None else kinds)
         whole = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         cuts = np.concatenate([[0], np.cumsum(size)]).tolist()
         return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -102,12 +120,6 @@ class Split:
         return np.searchsorted(self.text, np.arange(len(self.texts) + 1))
 
 
-def ranges(sizes: np.ndarray) -> np.ndarray:
-    """0..n-1 for every n, one after another."""
-    total = int(sizes.sum())
-    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
 def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
     """Whole texts, about ``limit`` characters together, with the number of the first."""
     at, size = 0, 0
@@ -158,7 +170,8 @@ def library(path: str):
 class Merged:
     """What a merge procedure made of the pieces seen so far: by hash, a stretch of ids.
 
-    Bounded: past ``keep`` pieces it starts afresh.
+    A known hash counts only if the piece itself is the known one.  Bounded:
+    past ``keep`` pieces it starts afresh.
     """
 
     def __init__(self, merge, keep: int = 400_000):
@@ -170,29 +183,43 @@ class Merged:
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.char_first = np.zeros(0, np.int64)
+        self.char_size = np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.uint32)
+
+    def _known(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the tables, whether the hash is there)"""
+        if not len(self.hash):
+            return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+        at = np.minimum(np.searchsorted(self.hash, want), len(self.hash) - 1)
+        return at, self.hash[at] == want
 
     def of(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         """(first, size) in ``flat`` for each kind of piece; merges those not seen yet."""
         if len(self.hash) > self.keep:
             self.clear()
         want = split.hash[split.sample]
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, want), len(self.hash) - 1)
-            new = np.flatnonzero(self.hash[at] != want)
-        else:
-            new = np.arange(len(want))
+        at, have = self._known(want)
+        old = np.flatnonzero(have)
+        chars, sizes = split.flat(old)
+        where = at[old]
+        if not np.array_equal(sizes, self.char_size[where]) or not np.array_equal(chars, self.chars[np.repeat(self.char_first[where], sizes) + ranges(sizes)]):
+            self.clear()  # another piece has the hash of a known one
+            have = np.zeros(len(want), bool)
+        new = np.flatnonzero(~have)
         if len(new):
             ids = self.merge(split.different(new))
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
-            first = np.cumsum(size) - size + len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
+            chars, char_size = split.flat(new)
+            first, char_first = np.cumsum(size) - size + len(self.flat), np.cumsum(char_size) - char_size + len(self.chars)
+            self.flat, self.chars = np.concatenate([self.flat, flat]), np.concatenate([self.chars, chars])
             hashes = np.concatenate([self.hash, want[new]])
             order = np.argsort(hashes)
             self.hash = hashes[order]
-            self.first = np.concatenate([self.first, first])[order]
-            self.size = np.concatenate([self.size, size])[order]
-        at = np.searchsorted(self.hash, want)
+            for name, more in (("first", first), ("size", size), ("char_first", char_first), ("char_size", char_size)):
+                setattr(self, name, np.concatenate([getattr(self, name), more])[order])
+        at, _ = self._known(want)
         return self.first[at], self.size[at]
 
 

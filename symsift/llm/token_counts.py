@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import encoder, ranges, read_ranks, special_tokens
+from .pieces import encoder, read_ranks, special_tokens
 
 RULES = ("start", "end", "most")
 
