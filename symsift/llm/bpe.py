@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding inside DuckDB (operator 9).
 
 Each partition splits its texts with the public pattern and hands the pieces it
-has not met to an in-process DuckDB.  A recursive query holds one row for each
-token position of a piece, joins neighbours with the merge table, contracts the
-leftmost pair of least rank of every piece and goes on until no pair is left;
-ordered aggregation then makes the ids and, through the vocabulary, the decoded
-bytes.  The merge table has every way to cut a vocabulary entry in two, so the
-result is that of the tiktoken library for any rank file.
-
-The recursion keeps the rows of all its steps, which grow with the square of a
-piece's length; a piece of more than ``LONG`` bytes (a run without a break) is
-merged by the same rule with a heap instead.
+has not met to an in-process DuckDB.  A piece is first cut wherever no
+vocabulary entry that occurs in it reaches across: no merge can cross such a
+place, so the parts are merged by themselves and equal parts once (a clause
+without blanks falls into words or characters).  A recursive query then holds
+one row for each token position of a part, joins neighbours with the merge
+table, contracts the leftmost pair of least rank of every part and goes on until
+no pair is left; ordered aggregation makes the ids and, through the vocabulary,
+the decoded bytes.  The merge table has every way to cut a vocabulary entry in
+two, so the result is that of the tiktoken library for any rank file.
+
+The recursion keeps the last step only; a batch of parts is bounded by their
+summed squared lengths, which is what its steps cost.  That sum bounds time, so
+a part of more than ``LONG`` bytes (a run of one character, say, all of which
+entries cover) is merged by the same rule with a heap instead.
 
 Null texts count as empty: no ids, and the digest of nothing.  doc_id may be
 null or repeated; other columns are ignored.
@@ -21,6 +25,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import U64, ranges
 from .pieces import Merged, Split, chunks, read_ranks
 
 LONG = 256
-BATCH = 40_000
+BATCH = 4_000_000  # summed squared bytes
 
 # k: piece * 1024 + position, kept dense; best: rank * 1024 + position of a piece's next pair
 ENCODE = """
-WITH RECURSIVE step(k, id, n) AS (
+WITH RECURSIVE step(k, id, n) USING KEY (k) AS (
     SELECT k, id, 0 FROM init
   UNION ALL
     SELECT CASE WHEN k & 1023 > best & 1023 THEN k - 1 ELSE k END, CASE WHEN k & 1023 = best & 1023 THEN best >> 10 ELSE id END, n + 1
@@ -46,15 +53,53 @@ WITH RECURSIVE step(k, id, n) AS (
     ) ON w = k >> 10
     WHERE k & 1023 <> (best & 1023) + 1
 )
-SELECT w, string_agg(decimal, ',') AS ids, count(*) AS n, string_agg(hex, '') AS decoded
-FROM (
-    SELECT w, k, v.decimal, v.hex
-    FROM step JOIN (SELECT k >> 10 AS w, max(n) AS n FROM step GROUP BY k >> 10) last ON w = k >> 10 AND last.n = step.n
-    JOIN vocabulary v ON v.id = step.id
-    ORDER BY k
-)
+SELECT w, string_agg(v.decimal, ',' ORDER BY k) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY k) AS decoded
+FROM step JOIN (SELECT k >> 10 AS w, max(n) AS n FROM step GROUP BY k >> 10) last ON w = k >> 10 AND last.n = step.n
+JOIN vocabulary v ON v.id = step.id
 GROUP BY w
-"""  # one thread: the aggregates take their rows in the order of k
+"""  # a place that a contraction freed keeps an earlier step's number
+
+
+def local_folder() -> str:
+    """A folder in Spark's local directories, for what DuckDB spills."""
+    at = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or tempfile.gettempdir()
+    return os.path.join(at, f"duckdb-{os.getpid()}")
+
+
+class Cuts:
+    """Where a text can be cut so that no occurrence of a vocabulary entry is.
+
+    An entry of more than eight bytes counts as occurring where its first eight
+    do, which can only leave out cuts.
+    """
+
+    def __init__(self, tokens: list[bytes]):
+        reach: list[dict[int, int]] = [{} for _ in range(9)]
+        for t in tokens:
+            n = min(len(t), 8)
+            key = int.from_bytes(t[:n], "big")
+            reach[n][key] = max(reach[n].get(key, 0), len(t))
+        self.tables = []
+        for n in range(2, 9):
+            keys = np.array(sorted(reach[n]), U64)
+            self.tables.append((n, keys, np.array([reach[n][k] for k in keys.tolist()], np.int64)))
+
+    def of(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For the bytes of some pieces one after another, their ends: whether each place may be the first of a part."""
+        n = len(flat)
+        far = np.arange(n) + 1  # how far the entries that begin here reach
+        left = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n)
+        padded = np.concatenate([flat, np.zeros(8, np.uint8)]).astype(U64)
+        key = flat.astype(U64)
+        for size, keys, reach in self.tables:
+            key = (key << U64(8)) | padded[size - 1 : size - 1 + n]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = np.flatnonzero((keys[at] == key) & (left >= size))
+                far[hit] = np.maximum(far[hit], hit + np.minimum(reach[at[hit]], left[hit]))
+        free = np.ones(n, bool)
+        free[1:] = np.maximum.accumulate(far)[:-1] <= np.arange(1, n)
+        return free
 
 
 class DuckMerger:
@@ -74,7 +119,8 @@ class DuckMerger:
                     a.append(left)
                     b.append(right)
                     r.append(rank)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
+        self.cuts = Cuts(list(self.ranks))
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": local_folder()})
         self._table("merges", ab=pa.array((np.array(a, np.int64) << 20) | np.array(b, np.int64)), r=pa.array(r, pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.bytes_of), pa.int64()), decimal=pa.array(list(map(str, self.bytes_of))), hex=pa.array([x.hex() for x in self.bytes_of.values()]))
 
@@ -85,25 +131,47 @@ class DuckMerger:
 
     def merge(self, pieces: list[bytes]) -> list[tuple[str, int, bytes]]:
         """(ids as decimals joined by commas, their number, decoded bytes) of each piece."""
-        out: list[tuple[str, int, bytes] | None] = [None] * len(pieces)
-        short = []
-        for i, p in enumerate(pieces):
+        if not pieces:
+            return []
+        data = b"".join(pieces)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        begin = np.flatnonzero(self.cuts.of(np.frombuffer(data, np.uint8), ends))
+        edges = [*begin.tolist(), len(data)]
+        parts = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        done = self._parts(list(dict.fromkeys(parts)))
+        out = []
+        cut = [0, *np.searchsorted(begin, ends).tolist()]
+        for a, b in zip(cut, cut[1:], strict=False):
+            got = [done[p] for p in parts[a:b]]
+            out.append(got[0] if b - a == 1 else (",".join([g[0] for g in got]), sum(g[1] for g in got), b"".join([g[2] for g in got])))
+        return out
+
+    def _parts(self, parts: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
+        out = {}
+        batch: list[bytes] = []
+        cost = 0
+        for p in sorted(parts, key=len):
             if len(p) > LONG:
                 ids = self._heap(p)
-                out[i] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes_of[x] for x in ids))
-            else:
-                short.append(i)
-        for lo in range(0, len(short), BATCH):
-            part = short[lo : lo + BATCH]
-            sizes = np.array([len(pieces[i]) for i in part])
-            flat = np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self._table("init", k=pa.array(np.repeat(np.arange(len(part)) * 1024, sizes) + pos), id=pa.array(self.single[flat]))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            for w, ids, n, decoded in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                out[part[w]] = (ids, n, bytes.fromhex(decoded))
+                out[p] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes_of[x] for x in ids))
+                continue
+            if cost + len(p) ** 2 > BATCH:
+                self._recurse(batch, out)
+                batch, cost = [], 0
+            batch.append(p)
+            cost += len(p) ** 2
+        if batch:
+            self._recurse(batch, out)
         return out
 
+    def _recurse(self, batch: list[bytes], out: dict[bytes, tuple[str, int, bytes]]) -> None:
+        sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+        flat = np.frombuffer(b"".join(batch), np.uint8)
+        self._table("init", k=pa.array(np.repeat(np.arange(len(batch)) * 1024, sizes) + ranges(sizes)), id=pa.array(self.single[flat]))
+        got = self.db.sql(ENCODE).to_arrow_table()
+        for w, ids, n, decoded in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            out[batch[w]] = (ids, n, bytes.fromhex(decoded))
+
     def _heap(self, piece: bytes) -> list[int]:
         """Leftmost pair of least rank first, with a heap over a linked list."""
         ids = [int(self.single[b]) for b in piece]
