@@ -12,9 +12,18 @@ similarity.
 linked to one member of its bucket, never to all.  After each round of exact
 checks and connected components only buckets whose members are still in
 different classes go on, with other members to link to.  What is left after
-``rounds`` rounds is compared across classes in full, bucket by bucket, in
-blocks of bounded size; only links leave a task.  So a group of n copies costs
-about n checks, and no link inside a bucket is lost.
+``rounds`` rounds are texts that share a bucket across classes, most of them
+less alike than ``threshold``.  They are joined exactly by prefix filtering: in
+any one order of all shingles, two sets that are similar enough share a shingle
+among the first ``n - ceil(threshold * n) + 1`` of each, and the places of the
+first one they share bound their overlap.  The order here is by a count-min
+sketch of the texts (of fixed size, whatever the corpus), rarest first, so that
+boilerplate, however common, stands last and brings no candidates; a wrong
+estimate costs time, never a link.  Rows of the prefixes are narrow (no text),
+a shingle that very many texts share is cut into blocks, and only pairs that
+pass the bounds are checked.  So a group of n copies costs about n checks, a
+family that shares half of its words next to none, and no link inside a bucket
+is lost.
 
 *Checks* compare the shingle sets themselves: ``threshold`` or more is a link.
 A class is a connected component of links.  With 24 bands of 4 a pair at 0.8
@@ -38,11 +47,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, U64, Rolling, mix, save
-from .pieces import SPACE, char_classes, char_codes, chunks, ranges
+from .common import MASK64, U64, mix, ranges, save, sequence_hash
+from .pieces import SPACE, char_classes, char_codes, chunks
 
 WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 1
 BLOCK = 4096
+CELLS = 1 << 17  # of each of the sketch's two tables
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -59,16 +69,15 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     end = end[: len(start)]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    word = mix(Rolling(char_codes()[chars], 0x9E3779B97F4A7C15).of(start, end) + (end - start).astype(U64))
+    word = sequence_hash(char_codes()[chars], start, end - start)
     owner = np.searchsorted(ends, start)
     count = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(count) - count
     number = np.maximum(count - words + 1, np.minimum(count, 1))
     text = np.repeat(np.arange(len(texts)), number)
     at = first[text] + ranges(number)
-    stop = np.minimum(at + words, (first + count)[text])
-    roll = Rolling(word, 0xC2B2AE3D27D4EB4F)
-    return text, mix(roll.of(at, stop) + (stop - at).astype(U64))
+    size = np.minimum(words, count[text])
+    return text, sequence_hash(word, at, size)
 
 
 def elements(texts: list[str], words: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -174,57 +183,89 @@ def check_pairs(batches: Iterator[pa.RecordBatch], words: int, weighted: bool, t
         yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def cross_links(batches: Iterator[pa.RecordBatch], words: int, weighted: bool, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between classes inside each group of rows (h, i, j, tid, label, z), which come in order.
+def sketch_rows(batches: Iterator[pa.RecordBatch], words: int, weighted: bool) -> Iterator[pa.RecordBatch]:
+    """(z) -> (cell, n): how many texts of a partition have a shingle of that cell, in two tables."""
+    unpack = zstandard.ZstdDecompressor()
+    total = np.zeros(2 * CELLS, np.int64)
+    for batch in batches:
+        texts = [unpack.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in batch.column(0)]
+        for _, part in chunks(texts):
+            total += np.bincount(cells(elements(part, words, weighted)[1]).ravel(), minlength=2 * CELLS)
+    some = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    Exact overlaps of one text with all others at once, through the postings of
-    its shingles; texts of the group's largest class need not ask.  A found
-    link joins its classes at once, so a group gives fewer links than classes.
-    """
+
+def cells(shingle: np.ndarray) -> np.ndarray:
+    """The cells of each shingle in the two tables of the sketch."""
+    return np.stack([shingle % U64(CELLS), (shingle >> U64(32)) % U64(CELLS) + U64(CELLS)]).astype(np.int64)
+
+
+def prefix_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words: int, weighted: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(tid, label, z) -> (s, tid, label, place, size) for the shingles that stand first."""
     unpack = zstandard.ZstdDecompressor()
-    known: dict[bytes, np.ndarray] = {}
-
-    def set_of(tid: bytes, z: bytes) -> np.ndarray:
-        got = known.get(tid)
-        if got is None:
-            if len(known) > 20_000:
-                known.clear()
-            got = known[tid] = elements([unpack.decompress(z).decode("utf-8", "surrogatepass")], words, weighted)[1]
-        return got
-
-    def links(rows: list[tuple]) -> pa.RecordBatch:
-        sets = [set_of(r[3], r[5]) for r in rows]
-        size = np.array([len(x) for x in sets])
-        _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(rows)), size)
-        order = np.argsort(shingle, kind="stable")
-        posting = owner[order]
-        begin = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
-        _, label = np.unique([r[4] for r in rows], return_inverse=True)
-        at = np.cumsum(size) - size
+    for batch in batches:
+        texts = [unpack.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in batch.column(2)]
+        for at, part in chunks(texts):
+            text, shingle = elements(part, words, weighted)
+            common = counts[cells(shingle)].min(axis=0)
+            order = np.lexsort((shingle, common, text))
+            text, shingle = text[order], shingle[order]
+            size = np.bincount(text, minlength=len(part))
+            place = np.arange(len(text)) - (np.cumsum(size) - size)[text]
+            first = place <= (size - np.ceil(threshold * size - 1e-6))[text]
+            text, shingle, place = text[first], shingle[first], place[first]
+            row = pa.array(at + text)
+            columns = [pa.array(shingle.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32)), pa.array(size[text].astype(np.int32))]
+            yield pa.record_batch(columns, ["s", "tid", "label", "place", "size"])
+
+
+def candidate_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (s, i, j, own, tid, label, place, size), those of one (s, i, j) together -> pairs (a, b) that may be similar enough."""
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[7])
+        _, label = np.unique([r[5] for r in rows], return_inverse=True)
+        own, place, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 6, 7))
+        apart = rows[0][1] != rows[0][2]
+        to = np.searchsorted(size, size / threshold + 1e-6, side="right")
         a, b = [], []
-        most = int(np.bincount(label).argmax())
-        for x in np.flatnonzero(label != most):
-            own = shingle[at[x] : at[x] + size[x]]
-            n = begin[own + 1] - begin[own]
-            inter = np.bincount(posting[np.repeat(begin[own], n) + ranges(n)], minlength=len(rows))
-            near = np.flatnonzero((inter / (size[x] + size - inter) >= threshold) & (label != label[x]))
-            for y in near:
-                if label[y] != label[x]:
-                    a.append(rows[x][3])
-                    b.append(rows[y][3])
-                    label[label == label[y]] = label[x]
+        for x in range(len(rows)):
+            y = np.arange(x + 1, to[x])
+            most = np.minimum(size[x] - place[x], size[y] - place[y])  # if this shingle is the first they share
+            ok = (most >= threshold / (1 + threshold) * (size[x] + size[y]) - 1e-6) & (label[y] != label[x])
+            if apart:
+                ok &= own[y] != own[x]
+            for k in y[ok].tolist():
+                p, q = sorted((rows[x][4], rows[k][4]))
+                a.append(p)
+                b.append(q)
         return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     rows: list[tuple] = []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and rows[-1][:3] != r[:3]:
-                yield links(rows)
+                yield pairs(rows)
                 rows = []
             rows.append(r)
     if rows:
-        yield links(rows)
+        yield pairs(rows)
+
+
+def prefix_pairs(open_: DataFrame, words: int, weighted: bool, threshold: float) -> DataFrame:
+    """(a, b): all pairs among texts (tid, label, z) of different labels that prefix filtering leaves."""
+    counts = np.zeros(2 * CELLS, np.int64)
+    sums = open_.select("z").mapInArrow(lambda b: sketch_rows(b, words, weighted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = sums.toArrow()  # 2 * CELLS rows at most
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    rows = open_.select("tid", "label", "z").mapInArrow(lambda b: prefix_rows(b, counts, words, weighted, threshold), "s long, tid binary, label binary, place int, size int")
+    rows = save(rows, "prefixes")
+    mixed = rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high")
+    cut = rows.join(mixed.select("s", "blocks"), "s").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "place", "size")
+    cut = cut.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return cut.mapInArrow(lambda b: candidate_pairs(b, threshold), "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,14 +316,11 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words:
             new = save(new.join(done, ["a", "b"], "left_anti"), "pairs")
             found = save(checked(new), "links")
             tried = save(tried.union(new), "pairs")
-        else:  # all that is left across classes: every pair of blocks of each bucket
-            blocks = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            cut = open_.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")))
-            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            cut = cut.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "label")
-            parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            cut = cut.join(texts, "tid").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "tid")
-            found = save(cut.select("h", "i", "j", "tid", "label", "z").mapInArrow(lambda b: cross_links(b, words, weighted, threshold), "a binary, b binary").distinct(), "links")
+        else:  # all that is left across classes
+            left = texts.join(open_.select("tid", "label").distinct(), "tid").select("tid", "label", "z")
+            done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            new = save(prefix_pairs(save(left, "left"), words, weighted, threshold).join(done, ["a", "b"], "left_anti"), "pairs")
+            found = save(checked(new), "links")
             if found.limit(1).count() == 0:
                 return labels, links
         links = save(links.union(found), "links")
@@ -295,13 +333,18 @@ def text_id(text: str):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """id_col, class_id (least id of its class), class_size (rows) and n_texts (different texts) for every row of docs."""
+    """id_col, class_id, class_size (rows), n_texts (different texts) and class_key for every row of docs.
+
+    class_key names the class (content key of one of its texts) and is unique;
+    class_id is the least id among its rows, so it names the class only where
+    ids are unique and not null.
+    """
     labels, _ = classes(docs, text, id_col, **how)
     rows = docs.select(F.col(id_col).alias("id"), text_id(text).alias("tid")).join(labels, "tid", "left").select("id", "tid", F.coalesce("label", "tid").alias("label"))
     rows = save(rows, "rows")
     by_text = rows.groupBy("label", "tid").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     sums = save(by_text.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")), "classes")
-    return rows.join(sums, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts")
+    return rows.join(sums, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts", F.lower(F.hex("label")).alias("class_key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

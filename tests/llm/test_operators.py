@@ -246,17 +246,54 @@ def test_near_duplicates(spark, block, monkeypatch):
         base[rng.randrange(len(base))] = f"n{rng.random()}"
         texts += [" ".join(base)] * rng.choice((1, 1, 3))
     texts += [passage + " " + words(rng, 12, 5000) for _ in range(25)]
-    df = spark.createDataFrame([(i, t, "x", "y", "z", "w") for i, t in enumerate(texts)], SCHEMA)
-    by = defaultdict(set)
-    for r in near_dups.near_duplicates(df).collect():
-        by[r.class_id].add(r.doc_id)
-        size = r.class_size
-        assert size >= 1
-    assert {frozenset(v) for v in by.values()} == set(brute_classes(texts))
-    assert all(k == min(v) for k, v in by.items())
+    long = words(rng, 150_000, 90_000)  # over a million characters
+    texts += [long, long + " more", words(rng, 150_000, 90_000)]
+    ids = [None if i % 11 == 3 else i // 2 if i % 5 else 7 for i in range(len(texts))]  # null and repeated ids
+    df = spark.createDataFrame([(d, t, "x", "y", str(i), "w") for i, (d, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA)
+    by = defaultdict(list)
+    got = near_dups.near_duplicates(df).collect()
+    for r in got:
+        by[r.class_key].append(r)
+    want = Counter()
+    for c in set(brute_classes(texts)):
+        mine = [ids[i] for i in c]
+        want[tuple(sorted(mine, key=str)), min((x for x in mine if x is not None), default=None), len(mine), len({texts[i] or "" for i in c})] += 1
+    assert Counter((tuple(sorted((r.doc_id for r in v), key=str)), v[0].class_id, v[0].class_size, v[0].n_texts) for v in by.values()) == want
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_keys_are_unique(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (None, "m"), (None, "n")], "doc_id long, text string")
+    assert len({r.class_key for r in near_dups.near_duplicates(df).collect()}) == 4
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_prefix_filter_spares_families(spark, block, monkeypatch):
+    """A family that shares half of its words brings few candidates, and none of the links is lost."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rng = random.Random(9)
+    half = words(rng, 110, 5000)
+    texts = [half + " " + words(rng, 50, 9000) for _ in range(400)]
+    twin = [t.rsplit(" ", 2)[0] + f" x{i} y{i}" for i, t in enumerate(texts[:20])]
+    pack = near_dups.zstandard.ZstdCompressor()
+    rows = [(i.to_bytes(16, "big"), i.to_bytes(16, "big"), pack.compress(t.encode())) for i, t in enumerate(texts + twin)]
+    open_ = spark.createDataFrame(rows, "tid binary, label binary, z binary")
+    got = {tuple(int.from_bytes(x) for x in r) for r in near_dups.prefix_pairs(open_, 5, False, 0.8).collect()}
+    assert {(i, 400 + i) for i in range(20)} <= got
+    assert len(got) <= 200  # of 87,990 pairs
+
+
+def test_words_do_not_collide():
+    """Words on which polynomial hashes modulo 2**64 agree."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    for n in (1024, 2048):
+        a, b = ("".join(s[x] for x in bits[:n]) for s in ("ab", "ba"))
+        _, h = near_dups.shingles([a, b], 5)
+        assert h[0] != h[1]
+
+
 def test_dart_agreement_is_jaccard():
     rng = np.random.default_rng(2)
     pool_ = rng.integers(1, 1 << 62, 900).astype(np.uint64)
