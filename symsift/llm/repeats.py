@@ -10,16 +10,19 @@ in the corpus, in the same text included.
    One row per run (about one per 69 bytes) is all that is shuffled.
 2. *Whole contexts.*  Runs are counted by (anchor, context), then contexts by
    anchor, both with partial aggregation, so a hot passage arrives as one row
-   per map task.  A context seen twice is repeated in full; an anchor seen with
-   one context needs no text at all.
+   per map task.  Equal contexts are one string with its multiplicity: seen
+   twice it is repeated in full; an anchor seen with one context needs no text.
 3. *Suffix arrays.*  One copy of each context whose anchor has several contexts
    is fetched, and blocks of whole anchor groups are sorted by two-stage suffix
    sorting: suffixes smaller than their successor are sorted directly, the rest
    are induced by bucket scans; neighbours with a common prefix of ``width``
-   bytes are repeats.  An anchor with more than ``block_contexts`` contexts
-   (the edge of a very common passage) would not fit one task; its windows are
-   compared by 128-bit hashes in a plain skew-safe aggregation instead, which
-   gives the same answer.
+   bytes are repeats.  A group of more than ``block_contexts`` contexts (the edge
+   of a very common passage) is split first: the range of places that the anchor
+   can have in a window is halved, and windows of one half agree in the bytes
+   that all of them hold beside the anchor, so contexts are grouped by those and
+   clipped to the half.  Halving goes on where a group is still too large; at a
+   single place equal windows are one string, so it ends, after about
+   log2(width) steps, with every block sorted in the same way.
 4. *Removal.*  Spans go back to their texts by content key and are cut out.
 
 Null texts count as empty; empty and short texts lose nothing; repeated rows
@@ -35,17 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, mix, save
 
-WIDTH, GRAM, BLOCK_CONTEXTS = 200, 64, 16384
+WIDTH, GRAM, BLOCK_CONTEXTS = 200, 64, 2048
 SEGMENT = 1 << 20  # anchors' places take 20 bits
 _rng = np.random.default_rng(20240229)
-TABLES = _rng.integers(1, 1 << 63, (3, 256), dtype=np.int64).astype(U64) * U64(2) + U64(1)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+BASE = 0x9E3779B97F4A7C15
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -64,15 +68,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of one buffer of whole texts: first window, windows, anchor hash, context hash, text number.
+    """Runs of one buffer of whole texts: first window, windows, anchor hash, anchor's place in the context, context hash, text number.
 
     ends: for every text its end in the buffer.
     """
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none, none
-    roll = Rolling(TABLES[0][buf], BASES[0])
+        return none, none, none, none, none, none
+    roll = Rolling(TABLE[buf], BASE)
     at = np.arange(n - gram + 1)
     h = mix((roll.prefix[gram:] - roll.prefix[:-gram]) * roll.inverse[: n - gram + 1])
     packed = (h & ~U64(SEGMENT - 1)) | at.astype(U64)
@@ -87,13 +91,18 @@ def runs_of(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[n
     keep = valid[first]
     first, count = first[keep], count[keep]
     a = anchor[first]
-    other = Rolling(TABLES[1][buf], BASES[1])
-    ctx = other.of(first, first + count - 1 + width)
-    ctx = mix(ctx ^ ((a - first).astype(U64) << U64(48)) ^ (count.astype(U64) << U64(32)))
-    return first, count, h[a].view(np.int64), ctx.view(np.int64), doc[first]
+    place = a - first
+    ctx = context_ids(buf.tobytes(), first, first + count - 1 + width, place)
+    return first, count, h[a].view(np.int64), place, ctx, doc[first]
 
 
-RUN_SCHEMA = "anchor long, ctx long, k1 long, k2 long, start int, n int, copies int"
+def context_ids(data: bytes, begin: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each stretch and of the anchor's place in it."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.array([digest(view[a:b], p) for a, b, p in zip(begin.tolist(), end.tolist(), place.tolist(), strict=True)], U64).view(np.int64)
+
+
+RUN_SCHEMA = "anchor long, ctx long, k1 long, k2 long, start int, n int, copies int, place int"
 
 
 def distinct_texts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[tuple[int, int], bytes, int]]:
@@ -120,12 +129,12 @@ def emit_runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Itera
             buf = np.frombuffer(b"".join(parts), np.uint8)
             sizes = np.array([len(p) for p in parts])
             ends = np.cumsum(sizes)
-            first, count, anchor, ctx, doc = runs_of(buf, ends, width, gram)
+            first, count, anchor, place, ctx, doc = runs_of(buf, ends, width, gram)
             m = np.array(meta, np.int64).reshape(-1, 4)[doc]
             start = first - (ends - sizes)[doc] + m[:, 3]
             return pa.record_batch(
-                [pa.array(x) for x in (anchor, ctx, m[:, 0], m[:, 1], start.astype(np.int32), count.astype(np.int32), m[:, 2].astype(np.int32))],
-                ["anchor", "ctx", "k1", "k2", "start", "n", "copies"],
+                [pa.array(x) for x in (anchor, ctx, m[:, 0], m[:, 1], start.astype(np.int32), count.astype(np.int32), m[:, 2].astype(np.int32), place.astype(np.int32))],
+                ["anchor", "ctx", "k1", "k2", "start", "n", "copies", "place"],
             )
 
         for key, data, times in distinct_texts(batch, width):
@@ -255,12 +264,12 @@ def mask_spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-SPAN_SCHEMA = "anchor long, ctx long, spans array<struct<a:int,b:int>>"
+SPAN_SCHEMA = "g long, clip long, spans array<struct<a:int,b:int>>"
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def sort_blocks(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, ctx, bytes) in order of anchor; whole groups together."""
+    """Rows (g, clip, bytes) in order of g; whole groups together."""
     rows: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -270,7 +279,7 @@ def sort_blocks(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int
             b, e = mask_spans(mask)
             if len(b):
                 out.append((a, c, [{"a": int(x), "b": int(y)} for x, y in zip(b, e, strict=True)]))
-        return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], SPANS)], ["anchor", "ctx", "spans"])
+        return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], SPANS)], ["g", "clip", "spans"])
 
     for batch in batches:
         for a, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -283,24 +292,71 @@ def sort_blocks(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int
         yield flush()
 
 
-WINDOW_SCHEMA = "w1 long, w2 long, anchor long, ctx long, at int"
+HALF_SCHEMA = "g long, clip long, lo int, hi int, place int, bytes binary, from_g long, from_clip long, shift int"
+
 
+def halves(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(g, clip, lo, hi, place, bytes) -> the same for both halves of lo..hi, with where they come from.
 
-def emit_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Two independent hashes of every window of the contexts of very large groups."""
+    lo, hi: the places of the anchor in the windows meant; place: that in the
+    bytes.  g stands for the group's anchor, range and the bytes that all its
+    windows hold beside the anchor.
+    """
+    most = width - gram
+    digest = xxhash.xxh3_64_intdigest
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            data = part.column(2).to_pylist()
-            sizes = np.array([len(d) for d in data])
-            windows = sizes - width + 1
-            row = np.repeat(np.arange(len(data)), windows)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            buf = np.frombuffer(b"".join(data), np.uint8)
-            place = at + (np.cumsum(sizes) - sizes)[row]
-            w = [mix(Rolling(TABLES[i][buf], BASES[i]).of(place, place + width)).view(np.int64) for i in (1, 2)]
-            a, c = (part.column(i).to_numpy()[row] for i in (0, 1))
-            yield pa.record_batch([pa.array(x) for x in (*w, a, c, at.astype(np.int32))], ["w1", "w2", "anchor", "ctx", "at"])
+        for at in range(0, batch.num_rows, 2000):
+            out = []
+            for g, clip, lo, hi, place, data in zip(*(c.to_pylist() for c in batch.slice(at, 2000).columns), strict=True):
+                right = len(data) - place - gram
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    if a > b or place < a or right < most - b:
+                        continue  # no window of this half
+                    begin, end = place - min(place, b), place + gram + min(right, most - a)
+                    own = data[place - a : place + gram + most - b]
+                    key = digest(own, (g * 1_000_003 + a * 1009 + b) & ((1 << 64) - 1))
+                    part = data[begin:end]
+                    out.append((signed(key), signed(digest(part, place - begin)), a, b, place - begin, part, g, clip, begin))
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["g", "clip", "lo", "hi", "place", "bytes", "from_g", "from_clip", "shift"])
+
+
+def span(a, b) -> Column:
+    return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+
+def sorted_spans(cut: DataFrame, width: int, gram: int, block_contexts: int) -> DataFrame:
+    """(g, clip, spans of windows that occur again) of distinct (g, clip, lo, hi, place, bytes, contexts)."""
+    cols = ["g", "clip", "lo", "hi", "place", "bytes"]
+    found, origins = [], []
+    while True:
+        small = cut.where((F.col("contexts") > 1) & (F.col("contexts") <= block_contexts)).select("g", "clip", "bytes")
+        level = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: sort_blocks(b, width), SPAN_SCHEMA)
+        large = cut.where(F.col("contexts") > block_contexts).select(*cols)
+        if large.limit(1).count() == 0:
+            found.append(level)
+            break
+        found.append(save(level, "spans"))
+        split = save(large.mapInArrow(lambda b: halves(b, width, gram), HALF_SCHEMA), "halves")
+        origins.append(split.select("g", "clip", "from_g", "from_clip", "shift"))
+        one = split.groupBy("g", "clip").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("lo", "hi", "place", "bytes")))  # equal rows but for their origin
+        one = save(one, "clips")
+        # equal windows of different strings are one string here: each of its windows occurs again
+        found[-1] = found[-1].unionByName(_as_origin(one.where("n > 1").select("g", "clip", F.array(span(F.lit(0), F.length("bytes") - width + 1)).alias("spans")), origins[-1]))
+        sizes = one.groupBy("g").agg(F.count("*").alias("contexts"))
+        cut = save(one.where("n = 1 OR lo < hi").join(sizes, "g").select(*cols, "contexts"), "context_bytes")
+    out = found.pop()
+    while origins:
+        out = found.pop().unionByName(_as_origin(out, origins.pop()))
+    return out
+
+
+def _as_origin(spans: DataFrame, origin: DataFrame) -> DataFrame:
+    """Spans of clipped strings as spans of what they were clipped from."""
+    moved = F.transform("spans", lambda s: span(s["a"] + F.col("shift"), s["b"] + F.col("shift")))
+    return spans.join(origin, ["g", "clip"]).select(F.col("from_g").alias("g"), F.col("from_clip").alias("clip"), moved.alias("spans"))
 
 
 def packed_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -321,20 +377,23 @@ def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(z, wants) -> (anchor, ctx, bytes): the asked-for contexts of a text."""
+    """(z, wants) -> (g, clip, place, contexts, bytes): the asked-for contexts of a text."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        a, c, d = [], [], []
+        rows: list[tuple] = []
+
+        def made():
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["g", "clip", "place", "contexts", "bytes"])
+
         for z, wants in zip(batch.column(0), batch.column(1), strict=True):
             data = unpack.decompress(z.as_py())
             for w in wants.as_py():
-                a.append(w["anchor"])
-                c.append(w["ctx"])
-                d.append(data[w["start"] : w["start"] + w["n"] - 1 + width])
-            if len(a) >= 20_000:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["anchor", "ctx", "bytes"])
-                a, c, d = [], [], []
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["anchor", "ctx", "bytes"])
+                rows.append((w["anchor"], w["ctx"], w["place"], w["contexts"], data[w["start"] : w["start"] + w["n"] - 1 + width]))
+                if len(rows) >= 20_000:
+                    yield made()
+                    rows = []
+        yield made()
 
 
 CUT_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept {}, removed array<struct<a:int,b:int>>"
@@ -383,23 +442,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     runs = save(texts.mapInArrow(lambda b: emit_runs(b, width, gram), RUN_SCHEMA), "runs")
 
     # what is repeated as a whole, and which anchors need their text
-    first = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n")]  # of one row: all are merged in the same order
+    first = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "place")]  # of one row: all are merged in the same order
     by_ctx = save(runs.groupBy("anchor", "ctx").agg(F.sum("copies").alias("copies"), *first), "contexts")
     several = by_ctx.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    whole = by_ctx.where("copies > 1").select("anchor", "ctx", F.array(span(F.lit(0), F.col("n"))).alias("spans"))
-    asks = by_ctx.join(several, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "start", "n")).alias("wants"))
+    whole = by_ctx.where("copies > 1").select(F.col("anchor").alias("g"), F.col("ctx").alias("clip"), F.array(span(F.lit(0), F.col("n"))).alias("spans"))
+    asks = by_ctx.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "start", "n", "place", "contexts")).alias("wants"))
     packed = texts.mapInArrow(lambda b: packed_texts(b, width), "k1 long, k2 long, z binary").dropDuplicates(["k1", "k2"])
-    cut = packed.join(asks, ["k1", "k2"]).select("z", "wants").mapInArrow(lambda b: cut_contexts(b, width), "anchor long, ctx long, bytes binary")
-    cut = save(cut.join(several, "anchor"), "context_bytes")
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = cut.where(F.col("contexts") <= block_contexts).select("anchor", "ctx", "bytes")
-    blocks = small.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: sort_blocks(b, width), SPAN_SCHEMA)
-    large = cut.where(F.col("contexts") > block_contexts).select("anchor", "ctx", "bytes").mapInArrow(lambda b: emit_windows(b, width), WINDOW_SCHEMA)
-    again = large.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
-    hashed = large.join(again, ["w1", "w2"]).groupBy("anchor", "ctx").agg(F.collect_list(span(F.col("at"), F.col("at") + 1)).alias("spans"))
-    found = save(whole.unionByName(blocks).unionByName(hashed), "found")
+    cut = packed.join(asks, ["k1", "k2"]).select("z", "wants").mapInArrow(lambda b: cut_contexts(b, width), "g long, clip long, place int, contexts long, bytes binary")
+    cut = save(cut.withColumns({"lo": F.lit(0), "hi": F.lit(width - gram)}), "context_bytes")
+    blocks = sorted_spans(cut, width, gram, block_contexts)
+    found = save(whole.unionByName(blocks).select(F.col("g").alias("anchor"), F.col("clip").alias("ctx"), "spans"), "found")
 
     moved = F.transform("spans", lambda s: span(F.col("start") + s["a"], F.col("start") + s["b"] - 1 + width))
     spans = runs.join(found, ["anchor", "ctx"]).select("k1", "k2", F.explode(moved).alias("s"))

@@ -70,7 +70,7 @@ def test_two_stage_sorts(seed):
     assert repeats.two_stage(buf, 320).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
-@pytest.mark.parametrize("block", [2, 16384])
+@pytest.mark.parametrize("block", [2, 2048])
 def test_repeats(spark, block):
     rng = random.Random(3)
     shared = words(rng, 60)
@@ -80,6 +80,28 @@ def test_repeats(spark, block):
     assert repeats.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "block"), [(300, 16), (2400, 300)])
+def test_repeats_of_a_common_passage(spark, copies, block):
+    """Groups far above a block: their edges differ in every text, on one side or on both."""
+    rng = random.Random(5)
+    passage = words(rng, 45, 10_000)
+    assert len(passage) > 220
+    texts = [words(rng, rng.randrange(3, 30), 10**6) + passage[rng.choice((0, 0, 7)) : rng.choice((None, None, -9))] + words(rng, rng.randrange(3, 30), 10**6) for _ in range(copies)]
+    got = repeats.remove_repeats(table(spark, texts), block_contexts=block).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    assert Counter(map(tuple, got)) == Counter((i if i % 9 else None, *b) for i, b in enumerate(brute_repeats(texts, 200)))
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Passages across the place where a long text is cut, and inside one text."""
+    rng = random.Random(6)
+    long = words(rng, 190_000, 10**6)
+    assert len(long) > 1 << 20
+    edge = 1 << 20
+    texts = [long, "x " + long[edge - 400 : edge + 300], long[5000:5300] + words(rng, 50) + long[edge - 100 : edge + 250] + "é", words(rng, 100)]
+    got = repeats.remove_repeats(table(spark, texts)).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    assert Counter(map(tuple, got)) == Counter((i if i % 9 else None, *b) for i, b in enumerate(brute_repeats(texts, 200)))
+
+
 # 3
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
