@@ -1,30 +1,36 @@
 """Approximate nearest neighbours by a forest of random projections (operator 3).
 
 *Index.*  Each tree splits a bounded sample at the median along the difference
-of two random members, ``depth`` times; every row then gets its leaf in every
-tree.  Equal vectors are one entry with their smallest ids: the nearest k rows
-never need more than k + 1 of them, so a vector that a third of the rows share
-costs no more than another.
-
-*Search.*  All trees of a query share one priority queue by the smallest margin
-on the way; leaves are taken until those taken hold ``share`` of the sample, or as
-much more as ``least`` candidates take in a small table.
+of two random members, until about ``leaf_rows`` rows of the table fall to a
+leaf or ``max_depth`` is reached; every row then gets its leaf in every tree.
+Equal vectors are one entry with their smallest ids: the nearest k rows never
+need more than k + 1 of them, so a vector that a third of the rows share costs
+no more than another.
+
+*Search.*  All trees of a query share one priority queue of nodes, by how far
+the query is from them: the root of the summed squares of the margins of the
+splits that were crossed on the way.  It stops when the next leaf is farther
+than ``reach`` times the distance of the k-th neighbour found so far in the
+sample.  So the work follows the data, not a share of the table: where vectors
+have close neighbours few leaves are opened, and in noise without structure,
+where all distances are alike, many are.  At least k + 1 sample members are seen.
+
 Leaf blocks then meet query blocks by (tree, leaf); candidates are ranked
 exactly, in double precision, on the original vectors, and only the best of a
 block leave it.  Leaves are cut into blocks of bounded size, so a crowded leaf
-spreads over tasks.
+spreads over tasks.  Vectors travel in their own precision.
 
 Fitting takes at most ``sample_rows`` different vectors, of which a group of
-copies is one; all rows are indexed.  With no more different vectors than fit in
-the leaves taken the answer is exact.  Vectors that are
-null, zero, of another length than most, or hold null or non-finite components
-take no part, as queries or as candidates.  Rows may repeat: each is a
-candidate of its own, but a row's own id is never its neighbour.
+copies is one; all rows are indexed.  The same rule holds at every size.  Vectors
+that are null, zero, of another length than most, or hold null or non-finite
+components take no part, as queries or as candidates.  Rows may repeat: each is
+a candidate of its own, but a row's own id is never its neighbour.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-TREES, DEPTH, SHARE, SAMPLE_ROWS = 16, 8, 0.5, 8000
-LEAST = 4000
+TREES, REACH, SAMPLE_ROWS = 4, 0.14, 8000
+LEAF_ROWS, MAX_DEPTH = 512, 12
 BLOCK, QUERY_BLOCK = 4096, 512
 
 
@@ -63,7 +69,7 @@ class Forest:
                 at = self._down(sample, t, at)
         leaves = self.leaves(sample)
         self.members = [[np.flatnonzero(leaves[:, t] == k).astype(np.int32) for k in range(2**depth)] for t in range(trees)]
-        self.size = len(sample)
+        self.sample = sample
 
     def _down(self, x: np.ndarray, t: int, at: np.ndarray) -> np.ndarray:
         return 2 * at + 1 + (np.einsum("ij,ij->i", x, self.planes[t, at]) > self.cuts[t, at])
@@ -78,24 +84,30 @@ class Forest:
             out[:, t] = at - (2**self.depth - 1)
         return out
 
-    def search(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until they hold ``share`` of the sample."""
-        margins = self.planes @ q - self.cuts
-        queue = [(-np.inf, t, 0) for t in range(self.trees)]
+    def search(self, q: np.ndarray, reach: float, k: int) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue until the next is too far."""
+        margins = (self.planes @ q - self.cuts).tolist()
+        queue = [(0.0, t, 0) for t in range(self.trees)]
         heapq.heapify(queue)
-        seen, count, first = np.zeros(self.size, bool), 0, 2**self.depth - 1
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (self.sample @ q)))
+        first = 2**self.depth - 1
+        seen, best = np.zeros(len(apart), bool), np.full(k + 1, np.inf)  # the query itself may be in the sample
         out = []
-        while queue and (count < share * self.size or not out):
-            bound, t, k = heapq.heappop(queue)
-            if k >= first:
-                out.append((t, k - first))
-                own = self.members[t][k - first]
-                count += int(np.count_nonzero(~seen[own]))
-                seen[own] = True
+        while queue:
+            far, t, node = heapq.heappop(queue)
+            if node >= first:
+                if far > reach * best[-1]:
+                    break
+                out.append((t, node - first))
+                own = self.members[t][node - first]
+                own = own[~seen[own]]
+                if len(own):
+                    seen[own] = True
+                    best = np.sort(np.concatenate([best, apart[own]]))[: k + 1]
                 continue
-            m = float(margins[t, k])
-            heapq.heappush(queue, (max(bound, m), t, 2 * k + 1))
-            heapq.heappush(queue, (max(bound, -m), t, 2 * k + 2))
+            m = margins[t][node]
+            heapq.heappush(queue, (math.hypot(far, max(m, 0.0)), t, 2 * node + 1))
+            heapq.heappush(queue, (math.hypot(far, max(-m, 0.0)), t, 2 * node + 2))
         return out
 
 
@@ -105,6 +117,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -119,12 +132,12 @@ def index_rows(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa
                 yield pa.record_batch([pa.array(np.full(len(part), t, np.int32)), pa.array(leaves[:, t]), *part.columns], ["tree", "leaf", "ids", "v"])
 
 
-def probe_rows(batches: Iterator[pa.RecordBatch], forest: Forest, share: float) -> Iterator[pa.RecordBatch]:
+def probe_rows(batches: Iterator[pa.RecordBatch], forest: Forest, reach: float, k: int) -> Iterator[pa.RecordBatch]:
     """(id, vector) -> a row for each leaf to look into."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 100):
             part = batch.slice(lo, 100)
-            found = [forest.search(q, share) for q in unit(matrix(part.column(1))).astype(np.float32)]
+            found = [forest.search(q, reach, k) for q in unit(matrix(part.column(1))).astype(np.float32)]
             row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             both = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
             yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), *(c.take(row) for c in part.columns)], ["tree", "leaf", "id", "v"])
@@ -137,12 +150,12 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def rank_block(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(queries, entries) of one leaf -> the best k + 1 entries of each query."""
+    """(queries, entries) of a block of one leaf -> the best k + 1 entries of each query."""
     for batch in batches:
         for queries, entries in zip(batch.column(0), batch.column(1), strict=True):
             qs, es = queries.values, entries.values
             qid, ids = qs.field("id").to_numpy(zero_copy_only=False), es.field("ids")
-            q, x = matrix(qs.field("v")), matrix(es.field("v"))
+            q, x = matrix(qs.field("v")).astype(np.float64), matrix(es.field("v")).astype(np.float64)
             first = np.array([i[0] for i in ids.to_pylist()])
             near = unit(q) @ unit(x).T
             take = min(k + 1, near.shape[1])
@@ -163,9 +176,11 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, depth: int = DEPTH, share: float = SHARE, sample_rows: int = SAMPLE_ROWS, least: int = LEAST) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, reach: float = REACH, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """query_id, rank, id_col, score: the k nearest rows found for each query row."""
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    own = rows.schema[vector].dataType.simpleString()
+    kind = own if own in ("array<float>", "array<double>") else "array<double>"
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     base = base.where(F.col("id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)))
     width = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out_schema = f"query_id long, rank int, {id_col} long, score double"
@@ -176,15 +191,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     hashed = base.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2"))
     few = hashed.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
     entries = save(few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("ids", "v"), "entries")
-    share = max(share, min(1.0, least / entries.count()))
+    depth = max(1, min(max_depth, round(math.log2(max(2, entries.count() / leaf_rows)))))
     first = F.col("ids")[0]
-    sample = entries.select("v").orderBy(F.xxhash64(first), first).limit(sample_rows).collect()  # a bounded sample of different vectors
-    forest = Forest(unit(np.array([r["v"] for r in sample])).astype(np.float32), trees, depth)
-    index = save(entries.mapInArrow(lambda b: index_rows(b, forest), "tree int, leaf int, ids array<long>, v array<double>"), "index")
-    sizes = index.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # trees * 2**depth rows
+    sample = entries.select("v").orderBy(F.xxhash64(first), first).limit(sample_rows).toArrow().column("v").combine_chunks()  # a bounded sample of different vectors
+    forest = Forest(unit(matrix(sample)).astype(np.float32), trees, depth)
+    index = save(entries.mapInArrow(lambda b: index_rows(b, forest), f"tree int, leaf int, ids array<long>, v {kind}"), "index")
+    sizes = index.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # trees * 2**max_depth rows at most
     cut = index.join(F.broadcast(sizes), ["tree", "leaf"])
     blocks = cut.groupBy("tree", "leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("ids", "v")).alias("entries"))
-    probes = save(base.where("asks").select("id", "v").dropDuplicates().mapInArrow(lambda b: probe_rows(b, forest, share), "tree int, leaf int, id long, v array<double>"), "probes")
+    probes = save(base.where("asks").select("id", "v").dropDuplicates().mapInArrow(lambda b: probe_rows(b, forest, reach, k), f"tree int, leaf int, id long, v {kind}"), "probes")
     asked = probes.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("parts"))
     queries = probes.join(F.broadcast(asked), ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).alias("p")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     found = queries.join(blocks, ["tree", "leaf"]).select("queries", "entries").mapInArrow(lambda b: rank_block(b, k), "query_id long, score double, ids array<long>")
