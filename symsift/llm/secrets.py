@@ -51,22 +51,51 @@ def version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+STEP = 64  # values that one growing array holds while running values are made
+STRETCH = 4096  # code points that a substring has to look through
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is, an expression inside a lambda isn't."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, join) -> Column:
+    """What ``join`` makes of the values before each value, from ``zero`` on.
+
+    In two levels, so that no array grows with all values: totals of stretches of
+    ``STEP`` values first, then inside each stretch from what is before it.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def before(xs: Column, start: Column) -> Column:
+        grown = F.aggregate(xs, F.struct(start.alias("at"), nothing.alias("out")), lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return grown["out"]
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda i: F.slice(v, i * STEP + 1, STEP))
+    inside = lambda parts: F.flatten(F.zip_with(parts, before(F.transform(parts, lambda p: F.aggregate(p, zero, join)), zero), before))
+    return bound(values, lambda v: F.when(F.size(v) == 0, nothing).otherwise(bound(cut(v), inside)))
+
+
 def rule_spans(text: Column, number: int, rule: Rule) -> Column:
     """Spans of one rule: the pieces between matches and the matches give the positions."""
     pattern = F.lit(rule.pattern)
-    pieces, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    group = matches if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(group, i)).alias("checked")))
+    pieces, all_ = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    checked = F.transform(all_ if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g))
+
+    def spans(sizes: Column) -> Column:
+        gaps = F.slice(F.transform(pieces, lambda p: F.length(p)), F.lit(1), F.size(sizes))
+        steps = F.zip_with(gaps, sizes, lambda g, n: F.struct(g.alias("gap"), n.alias("size")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + x["size"]
-        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("rule"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(x["checked"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        def placed(s: Column) -> Column:
+            at = running(F.transform(s, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, x: a + x)
+            start = lambda a, x: F.struct((a + x["gap"]).alias("start"), F.lit(number).alias("rule"), (a + x["gap"] + x["size"]).alias("stop"))
+            return F.zip_with(at, s, start)
 
-    none = F.array().cast(SPANS)
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add)["spans"]
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+        return F.array_compact(F.zip_with(bound(steps, placed), checked, lambda s, n: F.when(n >= rule.least, s)))
+
+    found = bound(F.transform(all_, lambda m: F.length(m)), spans)
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -80,15 +109,22 @@ def shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its spans, which may overlap, replaced."""
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    """The text with its spans, which come in order and may overlap, replaced: one that begins inside another goes with it."""
+
+    def of(parts: Column, s: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:  # characters a to b, from the stretches they lie in
+            i, j = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+            head, tail = F.coalesce(F.get(parts, i), F.lit("")), F.coalesce(F.get(parts, j), F.lit(""))
+            several = F.concat(F.substring(head, a - i * STRETCH + 1, F.lit(STRETCH)), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), b - j * STRETCH))
+            return F.when(i == j, F.substring(head, a - i * STRETCH + 1, b - a)).otherwise(several)
+
+        reach = running(F.transform(s, lambda x: x["stop"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        kept = F.zip_with(s, reach, lambda x, a: F.when(x["start"] >= a, F.concat(piece(a, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(s, lambda x: x["stop"]))
+        return F.concat(F.array_join(kept, ""), piece(last, F.length(text)))
+
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(stretches, lambda parts: bound(spans, lambda s: of(parts, s))))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
