@@ -10,9 +10,11 @@ only on an exact tie (a few words compress to too few bytes for their margin to
 say more).
 
 Learning takes a bounded sample: at most ``sample_docs`` different texts per
-language, in order of a hash, until ``dict_bytes`` are full, and at most
-``max_languages`` languages.  Of a text over ``sample_chars`` characters so many
-from its first letter on are taken.
+language, in order of a hash, until ``dict_bytes`` are full.  Of a text over
+``sample_chars`` characters so many from its first letter on are taken.  Every
+label is learned: with so many that their dictionaries would pass ``model_bytes``
+each gets an equal part of it.  Shares are taken of different texts, so copies of
+one text take no places.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.
 With one language learned the score is 1, with none every text is ``und``.
@@ -34,15 +36,17 @@ STRETCH, LEVEL, EVIDENCE = 1024, 6, 256
 MIN_MARGIN = 0.015
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 300, sample_chars: int = 6000, dict_bytes: int = 96 << 10, max_languages: int = 256) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 300, sample_chars: int = 6000, dict_bytes: int = 96 << 10, model_bytes: int = 64 << 20) -> dict[str, bytes]:
     """lang -> dictionary content."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     from_letter = F.regexp_replace("text", r"^\P{L}+", "")  # a cut keeps a letter
     rows = rows.withColumn("text", F.when(F.length("text") > sample_chars, F.substring(from_letter, 1, sample_chars)).otherwise(F.col("text")))
     different = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    counts = different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = different.groupBy("lang").count().collect()  # a row for each label
     if not counts:
         return {}
+    dict_bytes = min(dict_bytes, model_bytes // len(counts))
+    sample_docs = min(sample_docs, dict_bytes)  # a text has a byte at least
     place = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * sample_docs / r["count"])))))
     found = defaultdict(set)
@@ -115,4 +119,4 @@ def train_rows(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(train_rows(docs))
-    return identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))}).drop("rejected")
+    return identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))})

@@ -47,6 +47,24 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, texts).limit(0))[0].count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Tens of thousands of matches in a text of over a million characters; overlapping spans are replaced once."""
+    rng = random.Random(4)
+    hexa = lambda: f"{rng.getrandbits(80):020x}"
+    texts = [" ".join(hexa() for _ in range(60_000)), "token=" + hexa() + " x " + "AKIA" + "B" * 30 + "é" * 100 + hexa(), "api_key='" + "a1" * 20 + "' y", "é" * (1 << 20)]
+    df = table(spark, texts)
+    found, _ = secrets.scan(df)
+    assert Counter((r.doc_id, tuple((s.start, s.rule, s.stop) for s in r.spans)) for r in found.collect()) == Counter((i or None, tuple(brute_secrets(t))) for i, t in enumerate(texts))
+    marked = df.select("doc_id", secrets.redacted(F.col("text"), secrets.all_spans(F.col("text"), secrets.RULES)).alias("t")).collect()
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, _, b in brute_secrets(t):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert {r.doc_id: r.t for r in marked}[i or None] == out + t[at:]
+
+
 # 2
 def brute_repeats(texts, width):
     data = [(t or "").encode() for t in texts]
@@ -189,6 +207,10 @@ def test_chat(spark):
         assert [(t.role, t.text) for t in got[c].turns] == turns
         assert got[c].loss_text == "".join(x for r, x in turns if r == "assistant")
     assert [got[c].fault for c in (0, 90, 91)] == [0, 1, 2]
+    faults = {("system", "user", "assistant"): 0, ("user", "system"): 2, ("user",): 2, ("user", "assistant", "assistant", "user"): 3, ("assistant",): 1, ("user", "assistant", "user"): 4, ("system",): 2}
+    odd = spark.createDataFrame([(c, t, r, "</s>" * 300_000 if (c, t) == (0, 1) else "x") for c, roles in enumerate(faults) for t, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(odd)).collect()}
+    assert [got[c].fault for c in range(len(faults))] == list(faults.values()) and got[0].turns[1].text == "</s>" * 300_000
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
@@ -217,6 +239,29 @@ def test_language_learns_different_texts(spark):
     assert len(model["cc"]) == 6000 + 1 + len("klein") + 1
 
 
+def test_language_loses_no_label(spark):
+    """Copies, however many, and long texts cost no label its place; nor do many labels."""
+    many = spark.range(200_000).select(F.concat(F.lit("guten tag wie geht es "), F.pmod("id", F.lit(5)).cast("string")).alias("text"), F.lit("de").alias("lang"))
+    few = spark.range(400).select(F.concat(F.lit("good day how are you "), F.col("id").cast("string")), F.lit("en"))
+    long = spark.createDataFrame([("la vie est belle " * 1000 + str(i), "fr") for i in range(3)], "text string, lang string")
+    model = language.learn(many.union(few).union(long))
+    assert set(model) == {"de", "en", "fr"} and model["de"].count(b"\n") == 5
+    labels = spark.range(700).select(F.concat(F.lit("some words of "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    got = language.learn(labels, model_bytes=700 * 20)
+    assert len(got) == 700 and max(map(len, got.values())) <= 20
+
+
+def test_language_query(spark, tmp_path):
+    """Clashing columns, repeated rows, a very long text; the query tells what it rejects."""
+    texts = [("the quick brown fox and the dog " * 10, "en"), ("der schnelle braune fuchs und der hund " * 10, "de")] * 40 + [(None, "en"), ("12", None), ("the dog and the fox " * 60_000, None), ("the dog", None)]
+    df = spark.createDataFrame([(i, t, la, "x", 0, "y", "z", 1.0) for i, (t, la) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, k0 string, _ok string, score double")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in language.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(got[i].lang_pred == texts[i][1] for i in range(80))
+    assert [(got[i].lang_pred, got[i].rejected) for i in (80, 81, 82)] == [("und", True), ("und", True), ("en", False)]
+    assert len({(got[i].lang_pred, got[i].score) for i in range(0, 80, 2)}) == 1
+
+
 def test_language_rejects_noise(spark, sf_dir):
     """Random letters and digits go, short ones on ties; held-out documents stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -357,3 +402,19 @@ def test_pipeline(spark, sf_dir, tmp_path):
             assert not any(brute_secrets(r.text) for r in df.collect())
     for name, stage in C.STAGES[:4]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op5_chat_formatting"])
+def test_sql_twins(spark, sf_dir, name):
+    import duckdb
+
+    from symsift.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    res = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in res.description]
+    want = Counter(tuple(r[names.index(c)] for c in df.columns) for r in res.fetchall())
+    assert Counter(map(tuple, df.collect())) == want
