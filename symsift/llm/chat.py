@@ -128,16 +128,16 @@ WITH c AS (
 ), e AS (
     SELECT *, length(regexp_replace(regexp_replace(text, '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g'), '<(\\*)(/s>)', '<\\\1\2', 'g'))
             + length(regexp_replace(regexp_replace(role, '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g'), '<(\\*)(/s>)', '<\\\1\2', 'g')) + 17 AS size,
-        row_number() OVER w AS at, lag(role) OVER w AS before
+        row_number() OVER w AS place, lag(role) OVER w AS before
     FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), f AS (
-    SELECT *, CASE role WHEN 'system' THEN at = 1 WHEN 'user' THEN at = 1 OR before IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END AS fits
+    SELECT *, CASE role WHEN 'system' THEN place = 1 WHEN 'user' THEN place = 1 OR before IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END AS fits
     FROM e
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(size) AS BIGINT) AS formatted_chars,
-       CAST(coalesce(min(at) FILTER (NOT fits), CASE WHEN arg_max(role, at) = 'assistant' THEN 0 ELSE count(*) + 1 END) AS BIGINT) AS fault
+       CAST(coalesce(min(place) FILTER (NOT fits), CASE WHEN arg_max(role, place) = 'assistant' THEN 0 ELSE count(*) + 1 END) AS BIGINT) AS fault
 FROM f GROUP BY conv_id
 """
