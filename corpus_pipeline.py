@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symsift.llm import language, near_dups, packing, repeats, secrets
-from symsift.llm.common import save
+from symsift.llm.common import tidy
+from symsift.storage import discard, scratch
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -21,26 +22,40 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the rows outside the held-out fold."""
+    """Documents that the classifier rejects go; it learns from the rows outside the held-out fold.
+
+    Rejected are null and empty texts, texts without a letter, ties, and texts of
+    256 bytes or more with a narrow margin.  Equal texts share one fate; other
+    columns, the language's own included, decide nothing.
+    """
     model = language.learn(language.train_rows(docs))
     named = language.identify(docs, model, {f"c{i}": F.col(c) for i, c in enumerate(docs.columns)})
     return named.where(~F.col("rejected")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the least id."""
+    """One document of each class of near-duplicates stays: the one with the least id, null last.
+
+    Among rows of one id the least by text, then by all columns in their order
+    stays, so the choice doesn't depend on how rows are dealt.  Null and empty
+    texts are one class.
+    """
     labels, _ = near_dups.classes(docs)
-    keyed = docs.select(F.col("doc_id").alias("_id"), near_dups.text_id("text").alias("_tid"))
-    keyed = keyed.join(labels.select(F.col("tid").alias("_tid"), "label"), "_tid", "left").select("_id", "_tid", F.coalesce("label", "_tid").alias("_label"))
-    least = keyed.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tid").alias("tid"))).alias("best"))
-    kept = least.select(F.col("best.id").alias("_id"), F.col("best.tid").alias("_tid"))
-    rows = docs.withColumn("_key", near_dups.text_id("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_tid"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    keyed = docs.withColumn("_tid", near_dups.text_id("text"))
+    keyed = keyed.join(labels.select(F.col("tid").alias("_tid"), "label"), "_tid", "left")
+    order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tid").alias("tid"), *(F.struct(F.col(c).isNull(), F.col(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text"))]
+    named = keyed.select(F.coalesce("label", "_tid").alias("_label"), F.struct(*order).alias("_key"), *docs.columns)
+    least = named.groupBy("_label").agg(F.min("_key").alias("_key"))
+    rows = named.join(least.select(F.col("_label").alias("_l"), F.col("_key").alias("_k")), (F.col("_label") == F.col("_l")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return rows.dropDuplicates(["_label"]).select(*docs.columns)  # rows that are equal in all columns
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 or more that occur again go; what a cut leaves of a character goes with it."""
+    """Byte strings of 200 or more that occur again go; what a cut leaves of a character goes with it.
+
+    Every row stays, with what is left of its text: '' where all of it occurs
+    again, null where it was null.  Rows that are equal lose their texts alike.
+    """
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(F.col("text").isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
     cut = repeats.remove_repeats(docs.select(row.alias("row"), "text"), id_col="row", as_text=True)
@@ -49,7 +64,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The secrets found are replaced by a mark."""
+    """The secrets found are replaced by a mark; every row stays, null texts are null, overlapping secrets have one mark."""
     body = F.coalesce(F.col("text"), F.lit(""))
     _, ledger = secrets.scan(docs.select("doc_id", "text"))
     hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
@@ -79,6 +94,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with tidy(spark):  # what a stage saved on the way goes when its result is written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
