@@ -41,13 +41,16 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     texts are one class.
     """
     labels, _ = near_dups.classes(docs)
-    keyed = docs.withColumn("_tid", near_dups.text_id("text"))
-    keyed = keyed.join(labels.select(F.col("tid").alias("_tid"), "label"), "_tid", "left")
-    order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tid").alias("tid"), *(F.struct(F.col(c).isNull(), F.col(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text"))]
-    named = keyed.select(F.coalesce("label", "_tid").alias("_label"), F.struct(*order).alias("_key"), *docs.columns)
-    least = named.groupBy("_label").agg(F.min("_key").alias("_key"))
-    rows = named.join(least.select(F.col("_label").alias("_l"), F.col("_key").alias("_k")), (F.col("_label") == F.col("_l")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return rows.dropDuplicates(["_label"]).select(*docs.columns)  # rows that are equal in all columns
+    own = labels.select(F.col("tid").alias("_tid"), F.col("label").alias("_label"))
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))  # no name of the table's can clash
+    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), near_dups.text_id("text").alias("_tid")).join(own, "_tid", "left")
+    rest = [F.struct(F.col(f"_row.c{i}").isNull(), F.col(f"_row.c{i}")).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tid").alias("tid"), *rest)
+    rows = rows.select("_row", F.coalesce("_label", "_tid").alias("_label"), key.alias("_key"))
+    least = rows.groupBy("_label").agg(F.min("_key").alias("_k")).withColumnRenamed("_label", "_l")
+    kept = rows.join(least, (F.col("_label") == F.col("_l")) & (F.col("_key") == F.col("_k")), "left_semi")
+    kept = kept.dropDuplicates(["_label"])  # of rows that are equal in all columns
+    return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
