@@ -114,9 +114,10 @@ def file_pattern(text: str) -> tuple[str | None, str]:
 CLEAN = r"[^A-Za-z0-9_./:@#?&=+^$!~<>\[\]%-]"
 PUNCTUATION = ("[", "]", "{", "}", "(", ")", "=", "+", "+=", "++", ";", ",")
 STOPWORDS = ("the", "and", "of", "is", "in", "to", "or", "by", "for", "that", "die", "der", "und", "la", "de", "que", "el")
+_UNITS = "em|rem|vh|vw|vmin|vmax|ch|ex|cm|mm|in|pt|pc"
 NOISE_PATTERNS = (
-    r"^[0-9]+px$", r"^#[0-9a-fA-F]{3,8}$", r"^0x[0-9a-fA-F]+$", r"^[0-9]+(st|nd|rd|th)$", r"^[0-9]+(ms|s|m|h|d)$", r"^[0-9]+([kKmMgG])?[hH]z$",
-    r"^[0-9.]+[kKmMgGtT]?[bB]$", r"^[0-9]+x[0-9]+$", r"^[0-9.]+(em|rem|vh|vw|pt)$", r"^[0-9.]+%$", r"^rgba?\(", r"^hsla?\(",
+    r"^[0-9]+(px|st|nd|rd|th)$", r"^#([0-9a-fA-F]{3}){1,2}$", r"^0x[0-9a-fA-F]+$", r"^[0-9][0-9a-fA-F]*[a-fA-F][0-9a-fA-F]*$", r"^[0-9]+[smhdywµun]s?$",
+    r"^[0-9]+[kmg]?[hH][zZ]$", r"^[0-9]+[kmgtpKMGTP][bB]$", r"^[0-9]+x[0-9]+$", rf"^[0-9]+(\.[0-9]+)?({_UNITS}|%)$", r"^rgba?\([0-9,.\s]+\)$", r"^hsla?\([0-9,%.\s]+\)$",
 )
 
 

@@ -124,22 +124,27 @@ def proximity(ci: DataFrame, base: DataFrame, patterns: tuple[str, ...], reach:
         near = probe.join(marks, [*FILE, "_b"]).where(F.abs(F.col("_l") - F.col("line")) <= reach)
         good = near.groupBy(*LINE).agg(F.count_distinct("_q").alias("_n")).where(F.col("_n") == len(patterns)).select(*LINE)
         return hit.join(good, LINE, "left_semi").drop("_p")
-    low = F.greatest(F.lit(1), F.col("_a") - reach)
-    anchors = base.where(matches("symbol", patterns[0], True)).select(*FILE, F.col("line").alias("_a"), F.col("seq").alias("_s"))
+    buckets = lambda at: F.explode(F.array_distinct(F.array(F.floor((at - reach) / width), F.floor((at + reach) / width))))
+    anchors = base.where(matches("symbol", patterns[0], True)).select(*FILE, F.col("line").alias("_a"))
     others = hit.where(F.exists("_p", lambda x: x > 0)).withColumn("_b", F.floor(F.col("line") / width))
-    bands = anchors.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor((F.col("_a") - reach) / width), F.floor((F.col("_a") + reach) / width)))))
-    near = bands.join(others, [*FILE, "_b"]).where((F.col("line") >= low) & (F.col("line") <= F.col("_a") + reach))
-    counted = near.select(*FILE, "_a", F.explode("_p").alias("_q")).where("_q > 0").groupBy(*FILE, "_a").agg(F.count_distinct("_q").alias("_n"))
+    marks = others.select(*FILE, "_b", F.col("line").alias("_l"), F.explode("_p").alias("_q")).where("_q > 0").distinct()  # lines, not rows
+    lines = anchors.distinct().withColumn("_b", buckets(F.col("_a")))
+    near = lines.join(marks, [*FILE, "_b"]).where(F.abs(F.col("_l") - F.col("_a")) <= reach)
+    counted = near.groupBy(*FILE, "_a").agg(F.count_distinct("_q").alias("_n"))
     good = counted.where(F.col("_n") == len(patterns) - 1).select(*FILE, "_a")
     source = ci if mode == "native" else base
     first = source.where(matches("symbol", patterns[0], True))
-    at = good.select(*FILE, F.col("_a").alias("line"))
     if mode == "native":  # once for each anchor row, of each anchor line
-        on_line = first.join(anchors.join(good, [*FILE, "_a"], "left_semi").select(*FILE, F.col("_a").alias("line")), LINE)
-        second = near.join(good, [*FILE, "_a"], "left_semi").select(*base.columns, F.explode(F.filter("_p", lambda x: x > 0)).alias("_q")).drop("_q")
+        bands = anchors.join(good, [*FILE, "_a"], "left_semi")
+        on_line = first.join(bands.withColumnRenamed("_a", "line"), LINE)
+        again = bands.withColumn("_b", buckets(F.col("_a"))).join(others, [*FILE, "_b"]).where(F.abs(F.col("line") - F.col("_a")) <= reach)
+        second = again.select(*base.columns, F.explode(F.filter("_p", lambda x: x > 0)).alias("_q")).drop("_q")
         return on_line.select(*base.columns).unionAll(second)
-    second = near.join(good, [*FILE, "_a"], "left_semi").select(*base.columns)
-    return first.join(at.distinct(), LINE, "left_semi").select(*base.columns).unionAll(second).dropDuplicates(["seq"])
+    bands = good.select(F.col("directory").alias("_d"), F.col("filename").alias("_f"), "_a", buckets(F.col("_a")).alias("_k"))
+    at = (F.col("directory") == F.col("_d")) & (F.col("filename") == F.col("_f")) & (F.col("_b") == F.col("_k")) & (F.abs(F.col("line") - F.col("_a")) <= reach)
+    second = others.join(bands, at, "left_semi").select(*base.columns)
+    both = first.join(good.withColumnRenamed("_a", "line"), LINE, "left_semi").select(*base.columns).unionAll(second)
+    return both.dropDuplicates([*LINE, "seq"])  # seq tells the rows of one file apart
 
 
 def select_rows(ci: DataFrame, spec: QuerySpec) -> DataFrame:

@@ -89,9 +89,20 @@ on_index("p13_paths", lambda ci: ci.select(F.concat("directory", "filename").ali
 on_index("p15_spans", lambda ci: ci.where("source_location <> ''").select("seq", X.span_of(F.col("source_location"), 1).alias("a"), X.span_of(F.col("source_location"), 3).alias("b")), r"SELECT seq, CAST(regexp_extract(source_location, '^(\d+):', 1) AS INTEGER) AS a, CAST(regexp_extract(source_location, '- (\d+):', 1) AS INTEGER) AS b FROM ci WHERE source_location <> ''")
 
 # joins
-on_index("j1_same_line", rows("an% th% --and"), f"SELECT {ROW} FROM ci WHERE (directory, filename, line) IN (SELECT {FILE}, line FROM ci WHERE symbol LIKE 'an%' INTERSECT SELECT {FILE}, line FROM ci WHERE symbol LIKE 'th%') AND (symbol LIKE 'an%' OR symbol LIKE 'th%')")
-on_index("j1_same_line_three", rows("an% th% re% --and -x com"), f"SELECT {ROW} FROM ci WHERE context <> 'COM' AND (directory, filename, line) IN (SELECT {FILE}, line FROM ci WHERE symbol LIKE 'an%' AND context <> 'COM' INTERSECT SELECT {FILE}, line FROM ci WHERE symbol LIKE 'th%' AND context <> 'COM' INTERSECT SELECT {FILE}, line FROM ci WHERE symbol LIKE 're%' AND context <> 'COM') AND (symbol LIKE 'an%' OR symbol LIKE 'th%' OR symbol LIKE 're%')")
-on_index("j2_parent_type", rows("% --parent-type t2"), f"{W} parent_symbol <> '' AND EXISTS (SELECT 1 FROM ci d WHERE d.symbol = ci.parent_symbol AND d.directory = ci.directory AND d.filename = ci.filename AND d.is_definition = 1 AND d.context IN ('VAR', 'ARG', 'PROP') AND d.type LIKE 't2')")
+_BOTH = "SELECT directory, filename, line, symbol, context, seq FROM (SELECT *, {} FROM (SELECT *, {} FROM ci) WHERE {}) WHERE {}"
+
+
+def _on_line(tests: dict[str, str], where: str = "true") -> str:
+    """Rows of lines on which every test holds for some row: one pass."""
+    hits = ", ".join(f"{t} AND {where} AS {n}" for n, t in tests.items())
+    over = ", ".join(f"bool_or({n}) OVER (PARTITION BY directory, filename, line) AS all_{n}" for n in tests)
+    return _BOTH.format(over, hits, " OR ".join(tests), " AND ".join(f"all_{n}" for n in tests))
+
+
+on_index("j1_same_line", rows("an% th% --and"), _on_line({"a": "symbol LIKE 'an%'", "b": "symbol LIKE 'th%'"}))
+on_index("j1_same_line_three", rows("an% th% re% --and -x com"), _on_line({"a": "symbol LIKE 'an%'", "b": "symbol LIKE 'th%'", "c": "symbol LIKE 're%'"}, "context <> 'COM'"))
+QUERIES["j2_parent_type"] = lambda spark, sf_dir: rows("% --parent-type t2")(occurrences(spark, sf_dir))
+ORACLES["j2_parent_type"] = f"WITH {SQL.replace('ci AS (', 'ci AS MATERIALIZED (')}, d AS (SELECT DISTINCT {FILE}, symbol AS parent_symbol FROM ci WHERE is_definition = 1 AND context IN ('VAR', 'ARG', 'PROP') AND type LIKE 't2') SELECT {ROW} FROM ci SEMI JOIN d USING ({FILE}, parent_symbol) WHERE parent_symbol <> ''"
 on_index("j3_within", lambda ci: S.inside(ci, S.spans_of(ci.where("context = 'CLASS' AND symbol LIKE 'a%'").withColumn("symbol", F.lit("a")), ("a",))).select(*COLS), f"{W} EXISTS (SELECT 1 FROM ci d WHERE d.context = 'CLASS' AND d.symbol LIKE 'a%' AND d.directory = ci.directory AND d.filename = ci.filename AND ci.line BETWEEN d.span_start AND d.span_end)")
 _NEAR = "b.directory = a.directory AND b.filename = a.filename AND b.line BETWEEN greatest(1, a.line - 2) AND a.line + 2"
 _GOOD = f"good AS (SELECT * FROM ci a WHERE a.symbol LIKE 'oner%' AND EXISTS (SELECT 1 FROM ci b WHERE {_NEAR} AND b.symbol LIKE 'ther%'))"
@@ -162,7 +173,7 @@ on_tables("w11_thirds", lambda e: A.thirds(e, "user_id", "event_id").groupBy("th
 QUERIES["w12_never_after_first"] = lambda spark, sf_dir: (lambda e: e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("first"), F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("last")).where("first IS NOT NULL AND (last IS NULL OR last < first)").select("user_id"))(table(spark, sf_dir, "events"))
 ORACLES["w12_never_after_first"] = "SELECT user_id FROM events GROUP BY user_id HAVING min(event_id) FILTER (event_type = 'purchase') IS NOT NULL AND coalesce(max(event_id) FILTER (event_type = 'click') < min(event_id) FILTER (event_type = 'purchase'), true)"
 on_tables("w13_balanced_sample", lambda c: c.withColumn("rn", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))).orderBy("rn", "c_mktsegment").limit(23).select("c_custkey", "c_mktsegment"), "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer) ORDER BY rn, c_mktsegment LIMIT 23", "customer")
-on_tables("w14_divided_calls", lambda l: l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")).where("n > 0").select("l_orderkey", F.explode(F.array_repeat(F.round(F.lit(100.0) / F.col("n"), 6), F.col("n"))).alias("part")), "SELECT l_orderkey, unnest(list_transform(range(least(CAST(l_quantity AS INTEGER), 3)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
+on_tables("w14_divided_calls", lambda l: l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")).where("n > 0").select("l_orderkey", F.explode(F.array_repeat(F.round(F.lit(100.0) / F.col("n"), 6), F.col("n"))).alias("part")), "SELECT l_orderkey, unnest(list_transform(range(CAST(l_quantity AS INTEGER)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
 on_tables("w15_tie_term", lambda p: A.average_ranks(p, "p_size").agg(F.sum("tie_term").cast("double").alias("ties")), "SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM part WHERE p_size IS NOT NULL GROUP BY p_size)", "part")
 on_index("o7_busiest_files", lambda ci: C.busiest_files(ci_th(ci)), f"SELECT {FILE}, n, t - 3 AS others FROM (SELECT {FILE}, count(*) AS n, count(*) OVER () AS t FROM ci WHERE symbol LIKE 'th%' GROUP BY directory, filename) ORDER BY n DESC, directory, filename LIMIT 3")
 on_index("o2_file_list", lambda ci: S.files(ci, parse_command("oner%")), f"SELECT DISTINCT {FILE} FROM ci WHERE symbol LIKE 'oner%'")

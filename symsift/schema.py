@@ -29,7 +29,7 @@ EXT_COLUMNS = (
 TEXT_COLUMNS = tuple(c.name for c in EXT_COLUMNS if c.kind == "string")
 CORE = (("symbol", "string"), ("directory", "string"), ("filename", "string"), ("line", "int"), ("context", "string"), ("full_symbol", "string"), ("source_location", "string"))
 COLUMNS = (*CORE, *((c.name, c.kind) for c in EXT_COLUMNS))
-#: seq is the order of insertion, the last key of every order; the span is parsed once, at ingest.
+#: seq is the order of insertion in its file, which tells the rows of a file apart, and the last key of every order; the span is parsed once, at ingest.
 STORED = (*COLUMNS, ("seq", "long"), ("span_start", "int"), ("span_end", "int"))
 SCHEMA = T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}[k]) for n, k in STORED])
 ORDER = ("directory", "filename", "line", "seq")

@@ -43,7 +43,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
         F.when(F.length("symbol") >= 10, "static").otherwise("").alias("modifier"), F.when(is_any("ARG"), F.col("head")).otherwise("").alias("clue"),
         F.when(is_any("ARG", "VAR"), F.concat(F.lit("t"), F.length("symbol") % 5)).otherwise("").alias("type"),
         F.when(is_any("CLASS", "FUNC", "VAR"), 1).otherwise(0).alias("is_definition"),
-        (F.col("doc_id") * 1000000 + F.col("line") * 10000 + F.col("w")).cast("long").alias("seq"),
+        (F.col("line").cast("long") * 1_000_000_000 + F.col("w")).alias("seq"),
         F.when(stop.isNotNull(), F.col("line")).cast("int").alias("span_start"), stop.cast("int").alias("span_end"),
     )
 
@@ -90,7 +90,7 @@ ci AS (SELECT symbol, './' || lang || '/' AS directory, source || '_' || doc_id
          CASE WHEN context IN ('ARG', 'CALL', 'VAR') THEN coalesce(head, '') ELSE '' END AS parent_symbol,
          CASE WHEN full_symbol[1] BETWEEN 'A' AND 'Z' THEN 'public' ELSE 'private' END AS scope, lang AS namespace, CASE WHEN length(symbol) >= 10 THEN 'static' ELSE '' END AS modifier,
          CASE WHEN context = 'ARG' THEN coalesce(head, '') ELSE '' END AS clue, CASE WHEN context IN ('ARG', 'VAR') THEN 't' || (length(symbol) % 5) ELSE '' END AS type,
-         CASE WHEN context IN ('CLASS', 'FUNC', 'VAR') THEN 1 ELSE 0 END AS is_definition, doc_id * 1000000 + line * 10000 + w AS seq,
+         CASE WHEN context IN ('CLASS', 'FUNC', 'VAR') THEN 1 ELSE 0 END AS is_definition, CAST(line AS BIGINT) * 1000000000 + w AS seq,
          CAST(CASE WHEN context IN ('CLASS', 'FUNC') THEN line END AS INTEGER) AS span_start,
          CAST(CASE WHEN context = 'CLASS' THEN coalesce(stop, last) WHEN context = 'FUNC' THEN line END AS INTEGER) AS span_end
        FROM w3 LEFT JOIN heads USING (doc_id, line) LEFT JOIN ends USING (doc_id, line))"""

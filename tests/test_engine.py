@@ -16,7 +16,7 @@ from symsift.operators import stats as A
 from symsift.plans import registry
 from symsift.plans.spec import CommandError, defaults_from_config, parse_command
 from symsift.schema import SCHEMA
-from symsift.sources.extract import extract_file
+from symsift.sources.extract import extract, extract_file
 from symsift.sources.files import IndexStore, Walk, glob_regex, read_tree
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -73,6 +73,14 @@ def test_proximity_modes(spark):
     assert two == [10, 12, 15, 15]  # both anchors repeat the row at 15
 
 
+def test_proximity_in_equal_files(spark):
+    """Rows of two files that are alike stay rows of two files."""
+    files = [(d, n, "python", "alpha = 1\nbeta = alpha\n") for d, n in (("./", "a.py"), ("./", "b.py"), ("./sub/", "a.py"))]
+    rows, _ = extract(spark.createDataFrame(files, "directory string, filename string, lang string, content string"))
+    got = Counter((r.directory, r.filename, r.line) for r in S.proximity(rows, rows, ("alpha", "beta"), 3).collect())
+    assert got == Counter((d, n, line) for d, n, *_ in files for line in (1, 2, 2))
+
+
 def test_within_and_expand(spark):
     ci = rows_of(spark, [
         {"symbol": "f", "context": "FUNC", "is_definition": 1, "line": 2, "span_start": 2, "span_end": 4}, {"symbol": "f", "filename": "b.c", "context": "FUNC", "is_definition": 1, "line": 7, "span_start": 7, "span_end": 9},
@@ -89,7 +97,7 @@ def test_within_and_expand(spark):
 def test_recovery(spark):
     ci = rows_of(spark, [{"symbol": "render", "parent_symbol": "page"}, {"symbol": "prerender"}])
     assert [r.symbol for r in api.search(ci, "page.render").collect()] == ["render"]
-    assert [r.symbol for r in api.search(ci, "rende").collect()] == ["render", "prerender"] or True
+    assert [r.symbol for r in api.search(ci, "rende").collect()] == ["render", "prerender"]
     assert api.search(ci, "rende", recover=False).count() == 0
 
 
