@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symsift.functions import text as X
 from symsift.operators import recipes as R
+from symsift.operators import runs as E
 from symsift.operators import search as S
 from symsift.operators import stats as A
 from symsift.operators import toc as C
@@ -118,11 +119,13 @@ on_index("j8_shadowing", R.shadowing, f"SELECT DISTINCT {FILE}, symbol FROM ci v
 on_index("j9_stale_comments", R.stale_comments, "SELECT DISTINCT symbol FROM ci c WHERE context = 'COM' AND symbol LIKE '%th%' AND NOT EXISTS (SELECT 1 FROM ci d WHERE d.is_definition = 1 AND d.symbol = c.symbol)")
 on_index("j10_mutable_state", R.mutable_state, f"SELECT d.directory, d.filename, d.symbol, count(r.seq) AS n FROM (SELECT DISTINCT {FILE}, symbol FROM ci WHERE context = 'VAR' AND is_definition = 1 AND modifier LIKE '%static%') d LEFT JOIN ci r ON r.directory = d.directory AND r.filename = d.filename AND r.symbol = d.symbol AND r.is_definition = 0 GROUP BY ALL")
 on_index("j11_asof_function", lambda ci: R.arguments_with_function(ci).select("seq", "function_line"), f"SELECT a.seq, f.line AS function_line FROM (SELECT * FROM ci WHERE context = 'ARG') a ASOF JOIN (SELECT DISTINCT {FILE}, line FROM ci WHERE context = 'FUNC' AND is_definition = 1) f ON a.directory = f.directory AND a.filename = f.filename AND a.line >= f.line")
-on_tables("j12_left_join_default", lambda d, l: d.join(l, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "not_evaluated").when(F.col("quality") == 1, "resolved").otherwise("failed").alias("outcome"), F.coalesce("quality", F.lit(0)).alias("success")), "SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_evaluated' WHEN quality = 1 THEN 'resolved' ELSE 'failed' END AS outcome, coalesce(quality, 0) AS success FROM documents LEFT JOIN labels USING (doc_id)", "documents", "labels")
-QUERIES["j13_left_join_two_keys"] = lambda spark, sf_dir: (lambda e: e.join(e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last")), ["user_id", "event_type"], "left").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("last").alias("last")))(table(spark, sf_dir, "events"))
+on_tables("j12_left_join_default", lambda d, l: E.with_evaluation(d, l, "doc_id", "quality").select("doc_id", "outcome", "success"), "SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_evaluated' WHEN quality = 1 THEN 'resolved' ELSE 'failed' END AS outcome, coalesce(quality, 0) AS success FROM documents LEFT JOIN labels USING (doc_id)", "documents", "labels")
+QUERIES["j13_left_join_two_keys"] = lambda spark, sf_dir: E.with_attribute(
+    table(spark, sf_dir, "events").select("user_id", "event_type"), table(spark, sf_dir, "events").withColumnRenamed("event_id", "last"), ["user_id", "event_type"], "last"
+).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("last").alias("last"))
 ORACLES["j13_left_join_two_keys"] = "SELECT event_type, count(*) AS n, CAST(sum(last) AS BIGINT) AS last FROM events LEFT JOIN (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY ALL) USING (user_id, event_type) GROUP BY event_type"
-on_tables("j14_set_valued_join", lambda o, l: o.join(l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags")), "o_orderkey", "left").select("o_orderkey", "flags"), "SELECT o_orderkey, flags FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1) USING (o_orderkey)", "orders", "lineitem")
-on_tables("j16_next_turn", lambda c: c.select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("reply")), "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations", "conversations")
+on_tables("j14_set_valued_join", lambda o, l: E.with_set(o.withColumnRenamed("o_orderkey", "l_orderkey"), l, "l_orderkey", "l_returnflag", "flags").select(F.col("l_orderkey").alias("o_orderkey"), "flags"), "SELECT o_orderkey, flags FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1) USING (o_orderkey)", "orders", "lineitem")
+on_tables("j16_next_turn", lambda c: E.next_in_run(c, "conv_id", "turn", "role", "reply").select("conv_id", "turn", "role", "reply"), "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations", "conversations")
 
 # counts
 ci_th = lambda ci: ci.where(X.matches("symbol", "th*", True))
@@ -162,26 +165,26 @@ for _n in ("a7_toc_counts", "a8_toc", "w3_toc_limits"):
 # windows, limits, sets
 on_index("w1_limit_per_file", lambda ci: S.limited(ci.where("context IN ('FUNC', 'CLASS')"), QuerySpec(limit_per_file=2)).select(*COLS), f"SELECT {ROW} FROM (SELECT *, row_number() OVER (PARTITION BY {FILE} ORDER BY line, seq) AS n FROM ci WHERE context IN ('FUNC', 'CLASS')) WHERE n <= 2")
 on_index("w2_both_limits", lambda ci: S.limited(ci_th(ci), QuerySpec(limit_per_file=3, limit=100)).select(*COLS), f"SELECT {ROW} FROM (SELECT *, row_number() OVER (PARTITION BY {FILE} ORDER BY line, seq) AS n FROM ci WHERE symbol LIKE 'th%') WHERE n <= 3 ORDER BY {FILE}, line, seq LIMIT 100")
-on_index("w4_file_changes", lambda ci: ci_th(ci).withColumn("before", F.lag("line").over(Window.partitionBy("directory", "filename").orderBy("line", "seq"))).where("before IS NULL").select("directory", "filename", "line", "seq"), f"SELECT {FILE}, line, seq FROM (SELECT *, row_number() OVER (PARTITION BY {FILE} ORDER BY line, seq) AS n FROM ci WHERE symbol LIKE 'th%') WHERE n = 1")
+on_index("w4_file_changes", lambda ci: E.group_breaks(ci_th(ci), ["directory", "filename"], ["line", "seq"]).select("directory", "filename", "line", "seq"), f"SELECT {FILE}, line, seq FROM (SELECT *, row_number() OVER (PARTITION BY {FILE} ORDER BY line, seq) AS n FROM ci WHERE symbol LIKE 'th%') WHERE n = 1")
 on_index("w5_pattern_sets", lambda ci: ci.withColumn("p", S.pattern_ids(("an%", "th%"))).where(F.size("p") > 0).groupBy("directory", "filename", "line").agg(F.size(F.array_distinct(F.flatten(F.collect_set("p")))).cast("long").alias("n")), f"SELECT {FILE}, line, count(DISTINCT CASE WHEN symbol LIKE 'an%' THEN 0 ELSE 1 END) AS n FROM ci WHERE symbol LIKE 'an%' OR symbol LIKE 'th%' GROUP BY ALL")
-on_tables("w6_running_total", lambda o: o.select("o_orderkey", F.round(F.sum("o_totalprice").over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders", "orders")
+on_tables("w6_running_total", lambda o: E.running_total(o, "o_orderpriority", "o_orderkey", "o_totalprice", "running").select("o_orderkey", F.round("running", 2).alias("running")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders", "orders")
 on_tables("w7_average_ranks", lambda p: A.average_ranks(p, "p_size", "p_brand").select("p_brand", "v", "rank"), "SELECT DISTINCT p_brand, p_size AS v, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS rank FROM part", "part")
-on_tables("w8_latest_attempt", lambda e: e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))).where("n = 1").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1", "events")
-on_tables("w9_turn_ordinals", lambda e: (lambda w: e.select("event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("turn"), F.round(F.row_number().over(w.orderBy("ts", "event_id")) / F.count("*").over(w), 6).alias("part")))(Window.partitionBy("user_id")), "SELECT event_id, CAST(row_number() OVER o AS INTEGER) AS turn, round(row_number() OVER o / count(*) OVER (PARTITION BY user_id), 6) AS part FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)", "events")
+on_tables("w8_latest_attempt", lambda e: E.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1", "events")
+on_tables("w9_turn_ordinals", lambda e: E.turn_numbers(e, "user_id", ["ts", "event_id"]).select("event_id", "turn", F.round("part", 6).alias("part")), "SELECT event_id, CAST(row_number() OVER o AS INTEGER) AS turn, round(row_number() OVER o / count(*) OVER (PARTITION BY user_id), 6) AS part FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)", "events")
 on_tables("w10_streaks", lambda e: A.streaks(e, "user_id", "event_id", "event_type"), "SELECT user_id, event_type, max(n) AS longest FROM (SELECT user_id, event_type, i, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events) GROUP BY ALL) GROUP BY ALL", "events")
 on_tables("w11_thirds", lambda e: A.thirds(e, "user_id", "event_id").groupBy("third", "event_type").agg(F.count("*").alias("n")), "SELECT CAST(least(2, (i * 3) // n) AS INTEGER) AS third, event_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY ALL", "events")
-QUERIES["w12_never_after_first"] = lambda spark, sf_dir: (lambda e: e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("first"), F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("last")).where("first IS NOT NULL AND (last IS NULL OR last < first)").select("user_id"))(table(spark, sf_dir, "events"))
+QUERIES["w12_never_after_first"] = lambda spark, sf_dir: E.never_after(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "purchase", "click")
 ORACLES["w12_never_after_first"] = "SELECT user_id FROM events GROUP BY user_id HAVING min(event_id) FILTER (event_type = 'purchase') IS NOT NULL AND coalesce(max(event_id) FILTER (event_type = 'click') < min(event_id) FILTER (event_type = 'purchase'), true)"
-on_tables("w13_balanced_sample", lambda c: c.withColumn("rn", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))).orderBy("rn", "c_mktsegment").limit(23).select("c_custkey", "c_mktsegment"), "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer) ORDER BY rn, c_mktsegment LIMIT 23", "customer")
-on_tables("w14_divided_calls", lambda l: l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")).where("n > 0").select("l_orderkey", F.explode(F.array_repeat(F.round(F.lit(100.0) / F.col("n"), 6), F.col("n"))).alias("part")), "SELECT l_orderkey, unnest(list_transform(range(CAST(l_quantity AS INTEGER)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
+on_tables("w13_balanced_sample", lambda c: E.balanced(c, "c_mktsegment", ["c_custkey"], 23).select("c_custkey", "c_mktsegment"), "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer) ORDER BY rn, c_mktsegment LIMIT 23", "customer")
+on_tables("w14_divided_calls", lambda l: E.divided(l.select("l_orderkey", F.col("l_quantity").cast("int").alias("n")), "n", 100).select("l_orderkey", "part"), "SELECT l_orderkey, unnest(list_transform(range(CAST(l_quantity AS INTEGER)), lambda x: round(100.0 / CAST(l_quantity AS INTEGER), 6))) AS part FROM lineitem WHERE CAST(l_quantity AS INTEGER) > 0", "lineitem")
 on_tables("w15_tie_term", lambda p: A.average_ranks(p, "p_size").agg(F.sum("tie_term").cast("double").alias("ties")), "SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM part WHERE p_size IS NOT NULL GROUP BY p_size)", "part")
 on_index("o7_busiest_files", lambda ci: C.busiest_files(ci_th(ci)), f"SELECT {FILE}, n, t - 3 AS others FROM (SELECT {FILE}, count(*) AS n, count(*) OVER () AS t FROM ci WHERE symbol LIKE 'th%' GROUP BY directory, filename) ORDER BY n DESC, directory, filename LIMIT 3")
 on_index("o2_file_list", lambda ci: S.files(ci, parse_command("oner%")), f"SELECT DISTINCT {FILE} FROM ci WHERE symbol LIKE 'oner%'")
 on_index("u1_intersect", lambda ci: ci.where("symbol LIKE 'an%'").select("directory", "filename", "line").intersect(ci.where("symbol LIKE 'th%'").select("directory", "filename", "line")), f"SELECT {FILE}, line FROM ci WHERE symbol LIKE 'an%' INTERSECT SELECT {FILE}, line FROM ci WHERE symbol LIKE 'th%'")
 on_index("u2_union_all", lambda ci: ci.where("context = 'FUNC'").select("symbol").unionByName(ci.where("context = 'CLASS'").select("symbol")).groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM (SELECT symbol FROM ci WHERE context = 'FUNC' UNION ALL SELECT symbol FROM ci WHERE context = 'CLASS') GROUP BY symbol")
 on_index("u6_difference", lambda ci: ci.where("context = 'VAR'").select("symbol").subtract(ci.where("context = 'ARG'").select("symbol")), "SELECT symbol FROM ci WHERE context = 'VAR' EXCEPT SELECT symbol FROM ci WHERE context = 'ARG'")
-on_tables("u7_required_sets", lambda l: l.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("s")).select("l_orderkey", (F.size(F.array_except(F.array(F.lit("A"), F.lit("N")), "s")) == 0).alias("all_there"), F.size(F.array_intersect(F.array(F.lit("A"), F.lit("N")), "s")).cast("long").alias("some")), "SELECT l_orderkey, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) = 2 AS all_there, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) AS some FROM lineitem GROUP BY 1", "lineitem")
-on_tables("u8_key_union", lambda r, n: r.select(F.col("r_name").alias("name"), F.lit(1).alias("region")).unionByName(n.select(F.col("n_name").alias("name"), F.lit(1).alias("nation")), allowMissingColumns=True), "SELECT r_name AS name, 1 AS region, NULL::INTEGER AS nation FROM region UNION ALL SELECT n_name, NULL, 1 FROM nation", "region", "nation")
+on_tables("u7_required_sets", lambda l: E.required(l, "l_orderkey", "l_returnflag", ["A", "N"]), "SELECT l_orderkey, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) = 2 AS all_there, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) AS some FROM lineitem GROUP BY 1", "lineitem")
+on_tables("u8_key_union", lambda r, n: E.key_union(r.select(F.col("r_name").alias("name"), F.lit(1).alias("region")), n.select(F.col("n_name").alias("name"), F.lit(1).alias("nation"))), "SELECT r_name AS name, 1 AS region, NULL::INTEGER AS nation FROM region UNION ALL SELECT n_name, NULL, 1 FROM nation", "region", "nation")
 
 # text functions, expansion, diagnosis
 _tokens = lambda d: d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("raw")).where("raw <> ''")
@@ -223,24 +226,24 @@ on_tables("a31_bootstrap", lambda o: A.bootstrap_median_difference(_runs(o), "o_
 on_tables("a32_log_ratio", lambda o: A.log_ratio(_runs(o), "o_orderpriority", "o_orderstatus", "v", "F", "O", 10_000), None, "orders")
 _eff = lambda o: o.groupBy("o_orderpriority").agg(F.ln(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")))).alias("effect"), (F.stddev_samp("o_totalprice") / F.avg("o_totalprice") / F.sqrt(F.count("*"))).alias("se"))
 on_tables("a33_pooled_effect", lambda o: _r(A.pool(_eff(o)), "effect", "low", "high", "q", "i2", "pct"), "WITH e AS (SELECT ln(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O')) AS e, stddev_samp(o_totalprice) / avg(o_totalprice) / sqrt(count(*)) AS s FROM orders GROUP BY o_orderpriority), p AS (SELECT count(*) AS k, sum(1 / (s * s)) AS sw, sum(e / (s * s)) AS swe, sum(e * e / (s * s)) AS swee FROM e WHERE s > 0), r AS (SELECT k, swe / sw AS m, 1 / sqrt(sw) AS se, swee - swe * swe / sw AS q FROM p) SELECT k, round(m, 6) AS effect, round(m - 1.96 * se, 6) AS low, round(m + 1.96 * se, 6) AS high, round(q, 6) AS q, round(CASE WHEN q > 0 THEN greatest(0.0, (q - (k - 1)) / q) ELSE 0 END, 6) AS i2, round(exp(m) * 100 - 100, 6) AS pct FROM r", "orders")
-on_tables("a34_arm_ratios", lambda l: l.where("l_linestatus IN ('O', 'F')").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity")).select("l_returnflag", F.round(F.col("O") / F.col("F"), 9).alias("ratio")), "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'O') / avg(l_quantity) FILTER (l_linestatus = 'F'), 9) AS ratio FROM lineitem GROUP BY 1", "lineitem")
-on_tables("a35_calls_per_run", lambda e: e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("c"), F.count_if(F.col("event_type") == "view").alias("v")).agg(F.round(F.avg("c"), 6).alias("clicks"), F.round(F.avg("v"), 6).alias("views")), "SELECT round(avg(c), 6) AS clicks, round(avg(v), 6) AS views FROM (SELECT count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id)", "events")
-on_tables("a36_rates", lambda d, l: d.join(l, "doc_id").groupBy("source").agg(F.round(F.avg(F.col("quality").cast("double")), 9).alias("rate"), F.round(F.avg((F.col("n_chars") > 3000).cast("double")), 9).alias("blown_up")), "SELECT source, round(avg(CAST(quality AS DOUBLE)), 9) AS rate, round(avg(CASE WHEN n_chars > 3000 THEN 1.0 ELSE 0.0 END), 9) AS blown_up FROM documents JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
-on_tables("a37_cheapest", lambda o: o.groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("m"), F.count("*").alias("n")).where("n >= 3").groupBy("o_orderpriority").agg(F.min_by("o_orderstatus", "m").alias("cheapest"), F.min("m").alias("cost")), "SELECT o_orderpriority, arg_min(o_orderstatus, m) AS cheapest, min(m) AS cost FROM (SELECT o_orderpriority, o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1", "orders")
-on_tables("a38_most_common", lambda e: e.groupBy("user_id").pivot("event_type", ["click", "view"]).count().select("user_id", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("view")).orderBy(F.desc(F.col("click") + F.col("view")), "user_id").limit(20), "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1 ORDER BY click + view DESC, user_id LIMIT 20", "events")
-on_tables("a39_exclusions", lambda d: d.groupBy(F.when(F.col("n_chars") < 100, "short").when(F.col("lang") != "en", "language").when(F.col("n_chars") > 5000, "long").otherwise("kept").alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN n_chars > 5000 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1", "documents")
-on_tables("a40_adoption", lambda e: e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > 50).cast("double")), 9).alias("high")).select("event_type", "n", "high"), "SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 9) AS high FROM events GROUP BY 1", "events")
-on_tables("a41_largest_sibling", lambda d: d.groupBy("source").agg(F.max("n_chars").alias("n")), "SELECT source, max(n_chars) AS n FROM documents GROUP BY 1", "documents")
+on_tables("a34_arm_ratios", lambda l: E.arm_ratio(l, "l_returnflag", "l_linestatus", "l_quantity", "F", "O").select("l_returnflag", F.round("ratio", 9).alias("ratio")), "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'O') / avg(l_quantity) FILTER (l_linestatus = 'F'), 9) AS ratio FROM lineitem GROUP BY 1", "lineitem")
+on_tables("a35_calls_per_run", lambda e: _r(E.calls_per_run(e, "user_id", {"clicks": F.col("event_type") == "click", "views": F.col("event_type") == "view"}), "clicks", "views"), "SELECT round(avg(c), 6) AS clicks, round(avg(v), 6) AS views FROM (SELECT count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id)", "events")
+on_tables("a36_rates", lambda d, l: _r(E.rates(d.join(l, "doc_id"), "source", {"rate": F.col("quality"), "blown_up": F.col("n_chars") > 3000}), "rate", "blown_up", k=9), "SELECT source, round(avg(CAST(quality AS DOUBLE)), 9) AS rate, round(avg(CASE WHEN n_chars > 3000 THEN 1.0 ELSE 0.0 END), 9) AS blown_up FROM documents JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
+on_tables("a37_cheapest", lambda o: E.cheapest_arm(o, "o_orderpriority", "o_orderstatus", "o_totalprice").select("o_orderpriority", "cheapest", F.round("cost", 4).alias("cost")), "SELECT o_orderpriority, arg_min(o_orderstatus, m) AS cheapest, min(m) AS cost FROM (SELECT o_orderpriority, o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1", "orders")
+on_tables("a38_most_common", lambda e: E.most_common(e, "user_id", "event_type", ["click", "view"]), "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1 ORDER BY click + view DESC, user_id LIMIT 20", "events")
+on_tables("a39_exclusions", lambda d: E.exclusions(d, [("short", F.col("n_chars") < 100), ("language", F.col("lang") != "en"), ("long", F.col("n_chars") > 5000)]), "SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN n_chars > 5000 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1", "documents")
+on_tables("a40_adoption", lambda e: E.adoption(e, "event_type", {"high": F.col("value") > 50}).select("event_type", "n", F.round("high", 9).alias("high")), "SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 9) AS high FROM events GROUP BY 1", "events")
+on_tables("a41_largest_sibling", lambda d: E.largest_sibling(d, "source", "n_chars", "n"), "SELECT source, max(n_chars) AS n FROM documents GROUP BY 1", "documents")
 on_tables("a42_spearman", lambda p: _r(A.spearman(p, "p_size", "p_retailprice"), "rho"), "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS y FROM part) SELECT round(corr(x, y), 6) AS rho FROM r", "part")
-on_tables("a43_resolve_rates", lambda d, l: d.join(l, "doc_id").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.sum("quality").cast("long")), "SELECT source, " + ", ".join(f"CAST(sum(quality) FILTER (lang = '{x}') AS BIGINT) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
+on_tables("a43_resolve_rates", lambda d, l: E.resolved_by(d.join(l, "doc_id"), "source", "lang", "quality", ["de", "en", "es", "fr"]).drop("rate"), "SELECT source, " + ", ".join(f"CAST(sum(quality) FILTER (lang = '{x}') AS BIGINT) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
 on_tables("a44_patch_stats", lambda p: p.select("page_id", F.regexp_count("html", F.lit("<p")).alias("paragraphs"), F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("links")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<p')) AS INTEGER) AS paragraphs, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INTEGER) AS links FROM pages", "pages")
-on_tables("a45_trajectory_rollup", lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("peak"), F.count_if(F.col("role") == "assistant").alias("calls")), "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS peak, count(*) FILTER (role = 'assistant') AS calls FROM conversations GROUP BY 1", "conversations")
-on_tables("a46_cost_model", lambda c: c.groupBy("role").agg(F.round(F.sum(F.length("text")) / 4 * F.when(F.col("role") == "assistant", 0.000015).otherwise(0.000003), 6).alias("cost")), "SELECT role, round(sum(length(text)) / 4 * CASE WHEN role = 'assistant' THEN 0.000015 ELSE 0.000003 END, 6) AS cost FROM conversations GROUP BY role", "conversations")
-on_tables("a47_pair_difference", lambda c: c.groupBy("conv_id").pivot("role", ["assistant", "user"]).agg(F.sum(F.length("text")).cast("double")).select("conv_id", F.round((F.col("assistant") - F.col("user")) / F.col("user") * 100, 6).alias("pct")), "SELECT conv_id, round((CAST(sum(length(text)) FILTER (role = 'assistant') AS DOUBLE) - sum(length(text)) FILTER (role = 'user')) / sum(length(text)) FILTER (role = 'user') * 100, 6) AS pct FROM conversations GROUP BY 1", "conversations")
-on_tables("a48_dimensions", lambda d, l: d.join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("docs"), F.count("quality").alias("scored"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("breaks")), "SELECT source, count(*) AS docs, count(quality) AS scored, CAST(sum(len(text) - len(replace(text, chr(10), ''))) AS BIGINT) AS breaks FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
-on_tables("a49_completeness", lambda d, l: d.join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("scored")).select("source", F.when(F.col("scored") == F.col("n"), "complete").when(F.col("scored") == 0, "missing").otherwise("partial").alias("state")), "SELECT source, CASE WHEN count(quality) = count(*) THEN 'complete' WHEN count(quality) = 0 THEN 'missing' ELSE 'partial' END AS state FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
+on_tables("a45_trajectory_rollup", lambda c: E.trajectory_rollup(c, "conv_id", "role", F.length("text")).withColumnRenamed("tokens", "chars"), "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS peak, count(*) FILTER (role = 'assistant') AS calls FROM conversations GROUP BY 1", "conversations")
+on_tables("a46_cost_model", lambda c: E.cost(c, "role", F.length("text") / 4, {"assistant": 0.000015, "user": 0.000003, "system": 0.000003}).select("role", F.round("cost", 6).alias("cost")), "SELECT role, round(sum(length(text)) / 4 * CASE WHEN role = 'assistant' THEN 0.000015 ELSE 0.000003 END, 6) AS cost FROM conversations GROUP BY role", "conversations")
+on_tables("a47_pair_difference", lambda c: E.pair_change(c, "conv_id", "role", F.length("text"), "user", "assistant").select("conv_id", F.round("pct", 6).alias("pct")), "SELECT conv_id, round((CAST(sum(length(text)) FILTER (role = 'assistant') AS DOUBLE) - sum(length(text)) FILTER (role = 'user')) / sum(length(text)) FILTER (role = 'user') * 100, 6) AS pct FROM conversations GROUP BY 1", "conversations")
+on_tables("a48_dimensions", lambda d, l: E.dimensions(d, l, "doc_id", "source", {"docs": F.count("*"), "scored": F.count("quality"), "breaks": F.sum(F.regexp_count("text", F.lit("\n")))}), "SELECT source, count(*) AS docs, count(quality) AS scored, CAST(sum(len(text) - len(replace(text, chr(10), ''))) AS BIGINT) AS breaks FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
+on_tables("a49_completeness", lambda d, l: E.completeness(d.join(l, "doc_id", "left"), "source", "quality").select("source", "state"), "SELECT source, CASE WHEN count(quality) = count(*) THEN 'complete' WHEN count(quality) = 0 THEN 'missing' ELSE 'partial' END AS state FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
 on_tables("a50_pipe_rates", lambda p: p.groupBy((F.col("page_id") % 10).alias("g")).agg(F.round(F.avg(F.col("html").contains("&amp;").cast("double")), 9).alias("rate")), "SELECT page_id % 10 AS g, round(avg(CASE WHEN contains(html, '&amp;') THEN 1.0 ELSE 0.0 END), 9) AS rate FROM pages GROUP BY 1", "pages")
-on_tables("a51_classification", lambda c: c.groupBy(F.when(F.col("text").rlike(r"\?$"), "question").when(F.col("text").rlike("[0-9]"), "number").otherwise("other").alias("kind")).agg(F.count("*").alias("n")), r"SELECT CASE WHEN regexp_matches(text, '\?$') THEN 'question' WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'other' END AS kind, count(*) AS n FROM conversations GROUP BY 1", "conversations")
+on_tables("a51_classification", lambda c: c.groupBy(E.classified(F.col("text"), [("question", r"\?$"), ("number", "[0-9]")]).alias("kind")).agg(F.count("*").alias("n")), r"SELECT CASE WHEN regexp_matches(text, '\?$') THEN 'question' WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'other' END AS kind, count(*) AS n FROM conversations GROUP BY 1", "conversations")
 on_tables("t2_debounce", lambda e: A.debounced(e, "user_id", "ts", "event_type", "event_id", 3_600_000).select("user_id", "burst", "n", "kind"), "SELECT user_id, burst, count(*) AS n, arg_max(event_type, (ts, event_id)) AS kind FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL", "events")
 on_tables("t2_session_window", lambda e: e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("largest")), "SELECT user_id, count(*) AS sessions, max(n) AS largest FROM (SELECT user_id, burst, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL) GROUP BY 1", "events")
 on_tables("t3_first_event_wins", lambda e: A.debounced(e, "user_id", "ts", "event_type", "event_id", 3_600_000, first=True).select("user_id", "burst", "kind"), "SELECT user_id, burst, arg_min(event_type, (ts, event_id)) AS kind FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL", "events")
