@@ -218,6 +218,11 @@ def diagnose(ci: DataFrame, spec: QuerySpec) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(n).alias("n")) for n in probes))).alias("x")).select("x.*")
 
 
+def culprits(ci: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The filters without which rows would be found, by how many."""
+    return diagnose(ci, spec).where("filter NOT IN ('none', 'all') AND n > 0").orderBy(F.desc("n"), "filter")
+
+
 def recover(ci: DataFrame, spec: QuerySpec) -> tuple[QuerySpec, str | None]:
     """What to search for instead when nothing was found: a qualified name, or the pattern as a part of symbols."""
     from dataclasses import replace

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symsift.operators.search import FILE, file_filter
 from symsift.plans.spec import QuerySpec
-from symsift.functions.text import matches_any
+from symsift.functions.text import matches_any, span_of
 from symsift.schema import TOC_CONTEXTS
 
 
@@ -67,6 +67,17 @@ def expand(rows: DataFrame, lines: DataFrame, before: int = 0, after: int = 0, w
     return wanted.join(lines, [*FILE, "line_no"]).select(*FILE, "seq", "symbol", "line_no", "text").orderBy(*FILE, "seq", "line_no")
 
 
+def trimmed(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The source of each definition's span, its first and last line cut to the span's columns."""
+    at = lambda i: span_of(F.col("source_location"), i)
+    a, b = at(1), at(3)
+    wanted = rows.where(a.isNotNull()).select(*FILE, "seq", "symbol", a.alias("_a"), at(2).alias("_c"), b.alias("_b"), at(4).alias("_d"), F.explode(F.sequence(a, F.greatest(a, b))).alias("line_no"))
+    got = wanted.join(lines, [*FILE, "line_no"])
+    end = F.when(F.col("line_no") == F.col("_b"), F.substring("text", F.lit(1), F.col("_d"))).otherwise(F.col("text"))
+    cut = F.when(F.col("line_no") == F.col("_a"), F.substring(end, F.col("_c") + 1, F.length(end))).otherwise(end)
+    return got.select(*FILE, "seq", "symbol", "line_no", cut.alias("text")).orderBy(*FILE, "seq", "line_no")
+
+
 def busiest_files(rows: DataFrame, k: int = 3) -> DataFrame:
     """The k files with most rows, and how many files there are besides."""
     per = rows.groupBy(*FILE).agg(F.count("*").alias("n"))

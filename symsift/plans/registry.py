@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symsift.functions import commands as K
 from symsift.functions import text as X
 from symsift.operators import recipes as R
 from symsift.operators import runs as E
@@ -247,3 +248,28 @@ on_tables("a51_classification", lambda c: c.groupBy(E.classified(F.col("text"),
 on_tables("t2_debounce", lambda e: A.debounced(e, "user_id", "ts", "event_type", "event_id", 3_600_000).select("user_id", "burst", "n", "kind"), "SELECT user_id, burst, count(*) AS n, arg_max(event_type, (ts, event_id)) AS kind FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL", "events")
 on_tables("t2_session_window", lambda e: e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("largest")), "SELECT user_id, count(*) AS sessions, max(n) AS largest FROM (SELECT user_id, burst, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL) GROUP BY 1", "events")
 on_tables("t3_first_event_wins", lambda e: A.debounced(e, "user_id", "ts", "event_type", "event_id", 3_600_000, first=True).select("user_id", "burst", "kind"), "SELECT user_id, burst, arg_min(event_type, (ts, event_id)) AS kind FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL", "events")
+
+# labels, commands, words
+on_tables("j15_label_to_batch", lambda r: E.match_label(r.select(F.substring("r_name", 1, 3).alias("label")), r.select("r_name"), "label", "r_name"), "SELECT substring(r_name, 1, 3) AS label, r_name FROM region", "region")
+_QUOTED = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)""".replace("'", "''")
+_PARTS = rf"list_filter(list_transform(regexp_extract_all(html, '(?:{_QUOTED}|[^;\n|&''\"])+'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+on_tables(
+    "f18_segments", lambda p: p.select("page_id", F.size(K.segments(F.col("html"))).alias("segments"), F.coalesce(F.get(K.programs(F.col("html")), F.lit(0)), F.lit("")).alias("program")),
+    rf"SELECT page_id, CAST(len(s) AS INTEGER) AS segments, coalesce(regexp_extract(s[1], '^(?:\w+=\S+\s+)*(\S+)', 1), '') AS program FROM (SELECT page_id, {_PARTS} AS s FROM pages)", "pages",
+)
+on_tables("f18_pipes", lambda p: p.select("page_id", K.pipes(F.col("html")).cast("long").alias("pipes")), rf"SELECT page_id, CAST(len(x) - len(replace(x, '|', '')) AS BIGINT) AS pipes FROM (SELECT page_id, regexp_replace(html, '{_QUOTED}|\|\|', ' ', 'g') AS x FROM pages)", "pages")
+_NOISE = "|".join(f"(?:{p})" for p in X.NOISE_PATTERNS)
+_STOPS = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+on_tables(
+    "f9_filter_reasons", lambda d: _tokens(d).groupBy(K.filter_reason(F.col("raw"), ("if", "else", "for", "while", "return")).alias("reason")).agg(F.count("*").alias("n")),
+    f"""SELECT CASE WHEN length(raw) < 2 THEN 'short' WHEN regexp_matches(raw, '^[0-9]+$') THEN 'number' WHEN lower(raw) IN ({_STOPS}) THEN 'stopword' WHEN lower(raw) IN ('if', 'else', 'for', 'while', 'return') THEN 'keyword'
+        WHEN raw IN ('+=', '++') OR regexp_matches(raw, '{_NOISE}') THEN 'pattern' ELSE 'valid' END AS reason, count(*) AS n FROM ({_TOK}) GROUP BY 1""", "documents",
+)
+on_tables(
+    "f20_short_labels", lambda d: d.select(
+        "doc_id", K.short_label(F.concat(F.lit("instance_x__"), F.upper("source"), F.lit("-"), "doc_id")).alias("label"), K.family(F.concat(F.lit("Model-"), "lang"), ("en", "de")).alias("family"), K.test_file(F.concat("source", F.lit("/t.py::"), "lang")).alias("file")),
+    "SELECT doc_id, lower(split_part(split_part('instance_x__' || upper(source) || '-' || doc_id, '__', 2), '-', 1)) AS label, CASE WHEN lang = 'en' THEN 'en' WHEN lang IS NULL THEN NULL ELSE CASE WHEN contains(lower('Model-' || lang), 'en') THEN 'en' WHEN contains(lower('Model-' || lang), 'de') THEN 'de' ELSE 'Model-' || lang END END AS family, source || '/t.py' AS file FROM documents", "documents",
+)
+on_tables("f21_open_ranges", lambda d: d.agg(F.count_if(K.in_range(F.col("n_chars"), "500-")).alias("long"), F.count_if(K.in_range(F.col("n_chars"), "-200")).alias("short"), F.count_if(K.in_range(F.col("n_chars"), "300-900")).alias("middle")), "SELECT count(*) FILTER (n_chars >= 500) AS long, count(*) FILTER (n_chars <= 200) AS short, count(*) FILTER (n_chars BETWEEN 300 AND 900) AS middle FROM documents", "documents")
+on_tables("f22_durations", lambda o: o.select("o_orderkey", K.duration(F.col("o_totalprice") / 100).alias("took")), "SELECT o_orderkey, printf('%dm%02ds', CAST(floor(floor(o_totalprice / 100) / 60) AS BIGINT), CAST(floor(o_totalprice / 100) AS BIGINT) % 60) AS took FROM orders", "orders")
+on_tables("f22_parallelism", lambda e: _r(_r(E.parallelism(e.select("event_type", "ts", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("done")), "event_type", "ts", "done"), "parallelism"), "busy", "wall", k=3), "SELECT event_type, round(b, 3) AS busy, round(w, 3) AS wall, round(b / w, 6) AS parallelism FROM (SELECT event_type, CAST(count(*) * 90 AS DOUBLE) AS b, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 + 90 AS w FROM events GROUP BY 1)", "events")

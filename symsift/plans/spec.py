@@ -46,7 +46,8 @@ class QuerySpec:
         return (self.include, ()) if self.include else ((), self.exclude)
 
     def has_filters(self) -> bool:
-        return bool(self.include or self.exclude or self.files or any(self.meta.values()) or self.definition or self.parent_type or self.lines or self.within)
+        """Whether a filter is on; lines, containment and parent types are scopes and don't count."""
+        return bool(self.include or self.exclude or self.files or any(self.meta.values()) or self.definition)
 
 
 _LISTS = {"-i": "include", "--include-context": "include", "-x": "exclude", "--exclude-context": "exclude", "-f": "files", "--file": "files", "-w": "within", "--within": "within", "--parent-type": "parent_type", "--columns": "columns"}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from symsift import __version__
 from symsift.operators import search as S
 from symsift.operators import toc as C
 from symsift.plans.spec import QuerySpec, default_columns
@@ -54,5 +56,48 @@ def toc_lines(cx: DataFrame, spec: QuerySpec) -> Iterator[str]:
                     yield "    " + e["full_symbol"] + " " + "." * max(3, r["align"] - len(e["full_symbol"])) + f" {e['start_line']}"
 
 
+def source_lines(ci: DataFrame, lines: DataFrame, spec: QuerySpec) -> Iterator[str]:
+    """The source of a result's rows; with ``raw`` nothing but the text."""
+    rows = S.limited(S.select_rows(ci, spec), spec)
+    last = None
+    for r in C.expand(rows, lines, spec.before, spec.after, spec.expand).toLocalIterator():
+        if spec.raw:
+            yield r["text"]
+            continue
+        if (at := (r["directory"], r["filename"], r["seq"])) != last:
+            yield f"\n{r['directory']}{r['filename']}: {r['symbol']}"
+            last = at
+        yield f"{r['line_no']:6} {r['text']}"
+
+
+def web_table(ci: DataFrame, spec: QuerySpec) -> Iterator[str]:
+    """A result as an HTML table, row by row."""
+    columns = [c for c in default_columns(spec) if c not in S.FILE]
+    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
+    yield "<table><tr>" + cell("th", "FILE") + "".join(cell("th", TITLES.get(c, c.upper())) for c in columns) + "</tr>"
+    found = False
+    for r in S.limited(S.select_rows(ci, spec), spec).select(*S.FILE, *columns).toLocalIterator():
+        found = True
+        yield "<tr>" + cell("td", r["directory"] + r["filename"]) + "".join(cell("td", r[c]) for c in columns) + "</tr>"
+    yield "</table>" if found else "</table><p>No results</p>"
+
+
+def web_breakdown(ci: DataFrame, spec: QuerySpec) -> str:
+    return "<ul>" + "".join(f"<li>{html.escape(r['context'])} {r['n']}</li>" for r in S.breakdown(S.select_rows(ci, spec)).collect()) + "</ul>"
+
+
+def debug(ci: DataFrame, spec: QuerySpec) -> str:
+    """The plan that a command runs."""
+    return S.search(ci, spec)._jdf.queryExecution().toString()
+
+
+def usage() -> list[str]:
+    """Every flag a command can have."""
+    from symsift.plans import spec as P
+
+    flags = [*P._LISTS, *P._META, *P._SWITCHES, *P._NUMBERS, "-d", "--def", "--usage", "--lines", "--and", "-A", "-B", "-C"]
+    return [f"symsift {__version__}: PATTERN ... [flags]", "  " + " ".join(sorted(dict.fromkeys(flags)))]
+
+
 def list_types() -> list[str]:
     return [f"{k:6} {v.lower()}" for k, v in CONTEXTS.items()]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from symsift.functions.text import NOISE_PATTERNS, PUNCTUATION, STOPWORDS, fold
 from symsift.schema import SCHEMA
+from symsift.storage import scratch
 
 Row = dict
 _CLEAN = re.compile(r"[^A-Za-z0-9_./:@#?&=+^$!~<>\[\]%-]")
@@ -255,7 +256,10 @@ def extract_file(directory: str, filename: str, lang: str, text: str) -> tuple[l
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with lang, failed files with error) of directory, filename, lang, content."""
+    """(rows with lang, failed files with error) of directory, filename, lang, content.
+
+    Every file is parsed once: both are read from one stored table.
+    """
     names = [*SCHEMA.names, "lang", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,4 +272,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield out.assign(lang=f.lang, error=error)[names]
 
     every = files.select("directory", "filename", "lang", "content").mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMA) + ", lang string, error string")
+    path = scratch(files.sparkSession, "extracted")
+    every.write.parquet(path)
+    every = files.sparkSession.read.schema(every.schema).parquet(path)
     return every.where("error = ''").drop("error"), every.where("error <> ''").select("directory", "filename", "error")

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from symsift.sources.extract import extract
-from symsift.sources.files import IndexStore, Walk, language_of
+from symsift.sources.files import IndexStore, Walk, read_tree
 
 EVENT = "path string, event_type string, event_time double"
 
@@ -89,23 +89,22 @@ def one_per_path(events: DataFrame, first_wins: bool = False) -> DataFrame:
 
 
 def apply_changes(store: IndexStore, root: str, events: DataFrame, first_wins: bool = False) -> None:
-    """One batch: deleted files lose their rows, changed ones are parsed again and replaced."""
-    spark = store.spark
-    events = one_per_path(events, first_wins)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    at = events.select("path", "event_type", F.concat(F.lit("./"), F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)).alias("directory"), name.alias("filename"))
-    changed = at.where("event_type <> 'DELETED'")
-    paths = [r["path"] for r in changed.select("path").collect()]  # the files of one burst
+    """One batch, one version: deleted files lose their rows, changed ones are parsed again and replaced.
+
+    Contents come by a join on the path with a read of the tree; no list of paths
+    is collected.  A changed file that is gone by now keeps its rows until the
+    event of its deletion.
+    """
+    events = one_per_path(events, first_wins).cache()
+    at = events.select("path", "event_type", F.concat(F.lit("./"), F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)).alias("directory"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"))
+    changed = at.where("event_type <> 'DELETED'").select("directory", "filename")
     gone = at.where("event_type = 'DELETED'").select("directory", "filename")
-    if paths:
-        files = spark.read.format("binaryFile").load([os.path.join(root, p) for p in paths if os.path.exists(os.path.join(root, p))] or os.path.join(root, "."))
-        rel = F.regexp_replace("path", "^(file:)?/*" + root.strip("/") + "/", "")
-        files = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content")).join(changed, "path")
-        lang = F.create_map(*(F.lit(x) for p in paths for x in (p, language_of(p) or "perl")))[F.col("path")]
-        rows, failed = extract(files.select("directory", "filename", lang.alias("lang"), "content"))
-        store.upsert(rows, failed)
-    if gone.limit(1).count():
-        store.delete_files(gone)
+    if changed.limit(1).count():
+        rows, failed = extract(read_tree(store.spark, root).join(changed, ["directory", "filename"], "left_semi"))
+        store.apply(rows, gone, failed)
+    else:
+        store.apply(None, gone)
+    events.unpersist()
 
 
 def watch(spark: SparkSession, root: str, store: IndexStore, checkpoint: str, once: bool = False, first_wins: bool = False, silence: str = "200 milliseconds", exclude_dirs: str = "", exclude_files: str = "") -> StreamingQuery:
