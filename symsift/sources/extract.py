@@ -1,8 +1,9 @@
 """Symbols of source files: a syntax-tree extractor for Python, a lexer for the other languages.
 
-The lexer knows comments, strings, definitions, imports, calls and members by
-pattern; it doesn't know scopes or types of expressions, so its rows have less
-attributes than a full parser's.  Definitions always carry a span.
+The lexer knows comments, strings, definitions with their types, modifiers and
+access, parameters, fields, imports, calls and members by pattern; it doesn't
+know types of expressions, so its rows have less attributes than a full
+parser's.  Definitions always carry a span, those of classes in every language.
 """
 
 from __future__ import annotations
@@ -182,14 +183,80 @@ _HASH, _SLASH = r"\#[^\n]*", r"//[^\n]*|/\*[\s\S]*?\*/"
 _STRINGS = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])*\'|`[^`]*`'
 #: language -> comments, then definitions as (context, pattern with a group for the name)
 GRAMMARS: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
-    "c": (_SLASH, (("FUNC", r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{}()]*\)\s*\{"), ("TYPE", r"\b(?:struct|union)\s+(\w+)\s*\{"), ("TYPE", r"\btypedef\b[^;{}]*?(\w+)\s*;"), ("ENUM", r"\benum\s+(\w+)\s*\{"), ("MACRO", r"^[ \t]*#[ \t]*define\s+(\w+)"), ("IMP", r"^[ \t]*#[ \t]*include\s+[<\"]([^>\"]+)"), ("LABEL", r"^(\w+):\s*$"), ("GOTO", r"\bgoto\s+(\w+)"))),
-    "go": (_SLASH, (("NS", r"^package\s+(\w+)"), ("FUNC", r"^func\s+(?:\([^)]*\)\s*)?(\w+)[^\n]*\{"), ("CLASS", r"\btype\s+(\w+)\s+struct\s*\{"), ("IFACE", r"\btype\s+(\w+)\s+interface\s*\{"), ("TYPE", r"\btype\s+(\w+)\s+=?\s*(?!struct|interface)\w"), ("IMP", r"^(?:import\s+|\s+)(?:[\w.]+\s+)?\"([^\"]+)\"\s*$"), ("VAR", r"\b(?:var|const)\s+(\w+)"), ("VAR", r"\b(\w+)\s*:="))),
-    "rust": (_SLASH, (("FUNC", r"\bfn\s+(\w+)[^;{]*\{"), ("CLASS", r"\bstruct\s+(\w+)"), ("ENUM", r"\benum\s+(\w+)\s*[^;{]*\{"), ("TRAIT", r"\btrait\s+(\w+)[^;{]*\{"), ("CLASS", r"\bimpl\b(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)[^;{]*\{"), ("NS", r"\bmod\s+(\w+)"), ("IMP", r"\buse\s+([\w:]+)"), ("MACRO", r"\bmacro_rules!\s+(\w+)"), ("VAR", r"\blet\s+(?:mut\s+)?(\w+)"), ("TYPE", r"\btype\s+(\w+)\s*="))),
-    "typescript": (_SLASH, (("CLASS", r"\bclass\s+(\w+)[^{]*\{"), ("IFACE", r"\binterface\s+(\w+)[^{]*\{"), ("ENUM", r"\benum\s+(\w+)\s*\{"), ("TYPE", r"\btype\s+(\w+)\s*(?:<[^>]*>)?\s*="), ("FUNC", r"\bfunction\s*\*?\s*(\w+)\s*[^{;]*\{"), ("FUNC", r"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!if|for|while|switch|catch|return|function)(\w+)\s*\([^()]*\)[^{};\n]*\{"), ("FUNC", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^()]*\)[^=\n]*=>"), ("VAR", r"\b(?:const|let|var)\s+(\w+)"), ("IMP", r"\bimport\b[^'\"\n]*?(\w+)[^'\"\n\w]*from"), ("EXP", r"\bexport\s+(?:default\s+)?(?:class|function|const|interface|type|enum)\s+(\w+)"))),
-    "php": (_SLASH + "|" + _HASH, (("NS", r"^namespace\s+([\w\\]+)"), ("CLASS", r"\bclass\s+(\w+)[^{]*\{"), ("IFACE", r"\binterface\s+(\w+)[^{]*\{"), ("TRAIT", r"\btrait\s+(\w+)\s*\{"), ("ENUM", r"\benum\s+(\w+)[^{]*\{"), ("FUNC", r"\bfunction\s+&?(\w+)\s*\([^{;]*\{"), ("IMP", r"^use\s+([\w\\]+)"), ("VAR", r"(\$\w+)\s*=[^=>]"), ("VAR", r"\bconst\s+(\w+)"))),
+    "c": (_SLASH, (("FUNC", r"^(?P<before>[A-Za-z_][\w \t*]*?[\s*])(?P<name>\w+)\s*\((?P<params>[^;{}()]*)\)\s*\{"), ("VAR", r"^[ \t]*(?P<before>(?:(?:static|const|extern|unsigned|struct|volatile)\s+)*[A-Za-z_]\w*[ \t*]+)(?P<name>\w+)\s*(?=[=;\[])"), ("TYPE", r"\b(?:struct|union)\s+(\w+)\s*\{"), ("TYPE", r"\btypedef\b[^;{}]*?(\w+)\s*;"), ("ENUM", r"\benum\s+(\w+)\s*\{"), ("MACRO", r"^[ \t]*#[ \t]*define\s+(\w+)"), ("IMP", r"^[ \t]*#[ \t]*include\s+\"?(<[^>]+>|[^\"\s]+)"), ("LABEL", r"^(\w+):\s*$"), ("GOTO", r"\bgoto\s+(\w+)"))),
+    "go": (_SLASH, (("NS", r"^package\s+(\w+)"), ("FUNC", r"^func\s+(?:\((?P<receiver>[^)]*)\)\s*)?(?P<name>\w+)(?:\[[^\]]*\])?\((?P<params>[^()]*)\)(?P<after>[^\n{]*)\{"), ("CLASS", r"\btype\s+(\w+)\s+struct\s*\{"), ("IFACE", r"\btype\s+(\w+)\s+interface\s*\{"), ("TYPE", r"\btype\s+(\w+)\s+=?\s*(?!struct|interface)\w"), ("IMP", r"^(?:import\s+|\s+)(?:[\w.]+\s+)?\"([^\"]+)\"\s*$"), ("VAR", r"\b(?:var|const)\s+(?P<name>\w+)(?:[ \t]+(?P<type>[\w.*\[\]]+))?"), ("VAR", r"\b(\w+)\s*:="))),
+    "rust": (_SLASH, (("FUNC", r"(?P<before>(?:\b(?:pub|async|unsafe|const)\b(?:\([^)]*\))?\s+)*)\bfn\s+(?P<name>\w+)(?:<[^>]*>)?\s*\((?P<params>[^()]*)\)(?P<after>[^;{]*)\{"), ("CLASS", r"\bstruct\s+(\w+)(?:<[^>]*>)?\s*\{?"), ("ENUM", r"\benum\s+(\w+)\s*[^;{]*\{"), ("TRAIT", r"\btrait\s+(\w+)[^;{]*\{"), ("CLASS", r"\bimpl\b(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)[^;{]*\{"), ("NS", r"\bmod\s+(\w+)"), ("IMP", r"\buse\s+([\w:]+)"), ("MACRO", r"\bmacro_rules!\s+(\w+)"), ("VAR", r"\blet\s+(?:mut\s+)?(?P<name>\w+)(?:\s*:\s*(?P<type>[^=;\n]+))?"), ("TYPE", r"\btype\s+(\w+)\s*="))),
+    "typescript": (_SLASH, (("CLASS", r"\bclass\s+(\w+)[^{]*\{"), ("IFACE", r"\binterface\s+(\w+)[^{]*\{"), ("ENUM", r"\benum\s+(\w+)\s*\{"), ("TYPE", r"\btype\s+(\w+)\s*(?:<[^>]*>)?\s*="), ("FUNC", r"(?P<before>\b(?:async\s+)?)\bfunction\s*\*?\s*(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^()]*)\)(?P<after>[^{;]*)\{"), ("FUNC", r"^[ \t]+(?P<before>(?:(?:public|private|protected|static|async|abstract|override|get|set)\s+)*)(?!(?:if|for|while|switch|catch|return|function)\b)(?P<name>#?\w+)\s*(?:<[^>]*>)?\((?P<params>[^()]*)\)(?P<after>[^{};\n]*)\{"), ("FUNC", r"\b(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?P<before>async\s*)?\((?P<params>[^()]*)\)(?P<after>[^=\n]*)=>"), ("PROP", r"^[ \t]+(?P<before>(?:(?:public|private|protected|static|readonly|declare)\s+)*)(?P<name>#?\w+)[?!]?\s*:\s*(?P<type>[^=;(){}\n,]+?)\s*[;=]"), ("VAR", r"\b(?:const|let|var)\s+(?P<name>\w+)(?:\s*:\s*(?P<type>[^=;\n]+?)\s*(?=[=;]))?"), ("IMP", r"\bimport\b[^'\"\n]*?(\w+)[^'\"\n\w]*from"), ("EXP", r"\bexport\s+(?:default\s+)?(?:class|function|const|interface|type|enum)\s+(\w+)"))),
+    "php": (_SLASH + "|" + _HASH, (("NS", r"^namespace\s+([\w\\]+)"), ("CLASS", r"\bclass\s+(\w+)[^{]*\{"), ("IFACE", r"\binterface\s+(\w+)[^{]*\{"), ("TRAIT", r"\btrait\s+(\w+)\s*\{"), ("ENUM", r"\benum\s+(\w+)[^{]*\{"), ("FUNC", r"(?P<before>(?:\b(?:public|private|protected|static|abstract|final)\s+)*)\bfunction\s+&?(?P<name>\w+)\s*\((?P<params>[^()]*)\)(?P<after>[^{;]*)\{"), ("PROP", r"(?P<before>\b(?:public|private|protected)\s+(?:static\s+|readonly\s+)*)(?:(?P<type>[?\w\\|]+)\s+)?(?P<name>\$\w+)"), ("IMP", r"^use\s+([\w\\]+)"), ("VAR", r"(\$\w+)\s*=[^=>]"), ("VAR", r"\bconst\s+(\w+)"))),
     "perl": (_HASH, (("NS", r"^package\s+([\w:]+)"), ("FUNC", r"^\s*sub\s+(\w+)[^{]*\{"), ("IMP", r"^\s*(?:use|require)\s+([\w:]+)"), ("VAR", r"\b(?:my|our|local)\s+([\$@%]\w+)"), ("LABEL", r"^(\w+):\s"))),
 }
 _DEFINES = {"FUNC", "CLASS", "IFACE", "TYPE", "ENUM", "TRAIT", "MACRO", "VAR", "NS", "LABEL"}
+_ACCESS = ("public", "private", "protected")
+_MODIFIERS = ("static", "inline", "extern", "async", "abstract", "final", "const", "unsafe", "readonly", "override", "volatile")
+_NOT_TYPES = frozenset("return goto else case typedef break continue struct union enum".split())
+_PREDEFINED = frozenset("string number boolean any void unknown never object symbol bigint".split())
+#: how one parameter is written: groups name and, where it is there, type
+_PARAMETERS = {
+    "c": r"(?P<type>[A-Za-z_][\w\s*]*?[\s*])(?P<name>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])*$",
+    "go": r"(?P<name>\w+)(?:\s+(?P<type>\S.*))?$",
+    "rust": r"(?:mut\s+)?(?P<name>[A-Za-z_]\w*)\s*:\s*(?P<type>.+)$",
+    "typescript": r"(?:(?:public|private|protected|readonly)\s+)*(?:\.\.\.)?(?P<name>[\w$]+)\??\s*(?::\s*(?P<type>[^=]+?))?\s*(?:=.*)?$",
+    "php": r"(?:(?:public|private|protected|readonly)\s+)*(?:(?P<type>[?\w\\|]+)\s+)?&?(?:\.\.\.)?(?P<name>\$\w+)\s*(?:=.*)?$",
+}
+#: how a field is written inside the braces of these definitions
+_FIELDS = {
+    "c": ("TYPE", r"^[ \t]*(?P<type>[A-Za-z_][\w \t*]*?[ \t*])(?P<name>\w+)\s*(?:\[[^\]]*\])*\s*;"),
+    "go": ("CLASS", r"^[ \t]+(?P<name>\w+)[ \t]+(?P<type>[^\s`{}]+)[ \t]*$"),
+    "rust": ("CLASS", r"(?:^|[{,])\s*(?P<before>(?:pub(?:\([^)]*\))?\s+)?)(?P<name>\w+)\s*:\s*(?P<type>[^,{}]+)"),
+}
+
+
+def _split_parameters(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, text) of the parts between commas outside brackets."""
+    depth = start = 0
+    for i, c in enumerate(text + ","):
+        if c == "," and depth == 0:
+            part = text[start:i]
+            if part.strip():
+                yield start + len(part) - len(part.lstrip()), part.strip()
+            start = i + 1
+        depth += (c in "([{<") - (c in ")]}>")
+
+
+def _parameters(lang: str, text: str) -> list[tuple[int, str, str]]:
+    """(offset, name, type); in Go a type counts for the names before it."""
+    out = []
+    for at, part in _split_parameters(text):
+        m = re.match(_PARAMETERS.get(lang, r"(?!)"), part, re.S)
+        if m and m["name"] not in ("self", "void"):
+            out.append((at + m.start("name"), m["name"], " ".join((m["type"] or "").split())))
+    if lang == "go":
+        kind = ""
+        for i in range(len(out) - 1, -1, -1):
+            at, name, own = out[i]
+            kind = own or kind
+            out[i] = (at, name, kind)
+    return out
+
+
+def _attributes(lang: str, context: str, m: re.Match) -> dict[str, str]:
+    """type, scope and modifier of a definition, from what its match has around the name."""
+    got = m.groupdict()
+    name, before = m["name"] if "name" in got else m[1], (got.get("before") or "")
+    words = re.sub(r"\([^)]*\)", "", before).replace("*", " * ").split()
+    kind = got.get("type") or ""
+    if lang == "c" and before:
+        kind = " ".join(w for w in words if w not in _MODIFIERS)
+    elif "after" in got:
+        kind = re.sub(r"^\s*(?:->|:)?\s*", "", (got["after"] or "").split(" where ")[0])
+    scope = next((w for w in words if w in _ACCESS), "")
+    if name.startswith("#"):
+        scope = "private"
+    elif lang == "rust" and "pub" in words:
+        scope = "public"
+    elif lang == "go" and context in ("FUNC", "CLASS", "IFACE", "TYPE"):
+        scope = "public" if name[:1].isupper() else "private"
+    return {"type": " ".join(kind.split()), "scope": scope, "modifier": " ".join(w for w in words if w in _MODIFIERS)}
 
 
 def _block_end(code: str, at: int) -> int:
@@ -204,6 +271,7 @@ def _block_end(code: str, at: int) -> int:
 
 def lexer_rows(out: Collector, text: str) -> None:
     comments, definitions = GRAMMARS[out.lang]
+    keywords = KEYWORD_SETS[out.lang]
     line_of = [0]
     for m in re.finditer("\n", text):
         line_of.append(m.end())
@@ -212,29 +280,61 @@ def lexer_rows(out: Collector, text: str) -> None:
     def blank(m: re.Match) -> str:
         kind = "COM" if re.match(comments, m[0]) else "STR"
         include = kind == "STR" and re.search(r"(#\s*include\s*|import\s+|from\s+|^\s+)$", text[line_of[place(m.start())[0] - 1] : m.start()])
-        out.words(re.sub(r"^(//+|/\*+|#+|['\"`])|(\*/|['\"`])$", "", m[0]), place(m.start())[0], kind)
+        words = re.sub(r"^(//+|/\*+|#+|['\"`])|(\*/|['\"`])$", "", m[0])
+        if m[0][0] == "`" and out.lang == "typescript":  # what a template string computes is code
+            out.words(re.sub(r"\$\{[^}]*\}", " ", words), place(m.start())[0], kind)
+            return "".join(x if x.startswith("${") else re.sub(r"[^\n]", " ", x) for x in re.split(r"(\$\{[^}]*\})", m[0])).replace("${", "  ").replace("}", " ")
+        out.words(words, place(m.start())[0], kind)
         return m[0] if include else re.sub(r"[^\n]", " ", m[0])
 
     code = re.sub(f"{comments}|{_STRINGS}", blank, text)
     seen: set[tuple[int, str]] = set()
     named: set[int] = set()
-    for context, pattern in definitions:
+
+    def add(context: str, m: re.Match, **more) -> None:
+        which = "name" if "name" in m.groupdict() else 1
+        name, at = m[which], m.start(which)
+        if (at, context) in seen or at in named and context in ("VAR", "PROP") or name in keywords:
+            return
+        seen.add((at, context))
+        named.add(at)
+        brace = m.end() - 1 if m[0].endswith("{") else None
+        stop = _block_end(code, brace) if brace is not None else m.end()
+        span = (*place(at), *place(stop)) if context in _DEFINES else None
+        more = _attributes(out.lang, context, m) | more
+        if context != "FUNC" or name != "constructor":
+            out.add(name, place(at)[0], context, context != "IMP", span, definition=more.pop("definition", context in _DEFINES), **more)
+        params = m.groupdict().get("params")
+        for offset, arg, kind in _parameters(out.lang, params) if params else ():
+            where = m.start("params") + offset
+            named.add(where)
+            if out.lang == "typescript" and kind in _PREDEFINED:
+                out.add(kind, place(where)[0], "TYPE", False, definition=True)
+                named.update(x.start() + where for x in re.finditer(rf"\b{kind}\b", code[where : where + len(arg) + len(kind) + 8]))
+            out.add(arg, place(where)[0], "ARG", True, (*place(where), *place(where + len(arg))), definition=True, type=kind)
+        holder, field = _FIELDS.get(out.lang, ("", ""))
+        if context == holder and brace is not None:
+            for f in re.finditer(field, code[brace:stop], re.M):
+                where = brace + f.start("name")
+                if f["name"] not in keywords and where not in named:
+                    named.add(where)
+                    out.add(f["name"], place(where)[0], "PROP", False, (*place(where), *place(where + len(f["name"]))), definition=True, parent_symbol=name, **{k: v for k, v in _attributes(out.lang, "PROP", f).items() if k != "type"}, type=" ".join(f["type"].split()))
+
+    holder = _FIELDS.get(out.lang, ("",))[0]
+    for context, pattern in sorted(definitions, key=lambda d: d[0] != holder):  # fields are told from variables by their braces
         for m in re.finditer(pattern, code, re.M):
-            if (m.start(1), context) in seen or m[1] in KEYWORD_SETS[out.lang]:
+            first = (m.groupdict().get("before") or "").split()
+            if out.lang == "c" and context == "VAR" and (not first or first[0] in _NOT_TYPES):
                 continue
-            seen.add((m.start(1), context))
-            named.add(m.start(1))
-            brace = m.end() - 1 if m[0].endswith("{") else None
-            stop = _block_end(code, brace) if brace is not None else m.end()
-            span = (*place(m.start(1)), *place(stop)) if context in _DEFINES else None
-            more = {"scope": "public" if m[1][:1].isupper() else "private"} if out.lang == "go" and context == "FUNC" else {}
-            out.add(m[1], place(m.start(1))[0], context, context not in ("IMP",), span, definition=context in _DEFINES, **more)
-    for m in re.finditer(r"([\$@%]?\b[A-Za-z_]\w*)(\s*\()?", code):
-        if m.start(1) in named or m[1] in KEYWORD_SETS[out.lang]:
+            add(context, m, **({"definition": out.lang != "typescript"} if context == "PROP" else {}))
+    for m in re.finditer(r"((?:[\$@%]|#(?=\w))?\b[A-Za-z_]\w*)(\s*\()?", code):
+        if m.start(1) in named or m[1] in keywords or m[1].startswith("#") and out.lang != "typescript":
             continue
-        before = re.search(r"(\w+)\s*(?:\.|->|::)\s*$", code[max(0, m.start() - 80) : m.start()])
-        context = "CALL" if m[2] else "PROP" if before else "VAR"
-        out.add(m[1], place(m.start(1))[0], context, parent_symbol=before[1] if before else "")
+        before = re.search(r"(\w+)\s*(?:\?\.|\.|->|::)\s*$", code[max(0, m.start() - 80) : m.start()])
+        chained = re.search(r"[)\]]\s*(?:\?\.|\.|->|::)\s*$", code[max(0, m.start() - 80) : m.start()])
+        context = "CALL" if m[2] else "PROP" if before or chained else "VAR"
+        own = bool(before and before[1] in ("this", "$this") and context == "PROP")
+        out.add(m[1], place(m.start(1))[0], context, parent_symbol=before[1] if before else "", definition=own)
 
 
 EXTRACTORS: dict[str, Callable[[Collector, str], None]] = {"python": python_rows} | dict.fromkeys(GRAMMARS, lexer_rows)

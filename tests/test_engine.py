@@ -150,6 +150,46 @@ def test_lexers(lang, name, code, want):
     assert all(r["span_start"] for r in rows if r["context"] in ("FUNC", "CLASS"))
 
 
+SHAPES = {
+    ("c", "a.c"): ('/* A small tool */\n#include <stdio.h>\nstruct box {\n  char *label;\n};\nstatic int area(int side, char *name) {\n  unsigned long total = side;\n  return printf("wide", total);\n}\n', [
+        ("IMP", "<stdio.h>", 2, 0, {}), ("PROP", "label", 4, 1, {"type": "char *", "parent_symbol": "box"}), ("FUNC", "area", 6, 1, {"type": "int", "modifier": "static"}), ("ARG", "side", 6, 1, {"type": "int"}),
+        ("ARG", "name", 6, 1, {"type": "char *"}), ("VAR", "total", 7, 1, {"type": "unsigned long"}), ("CALL", "printf", 8, 0, {}), ("STR", "wide", 8, 0, {}), ("VAR", "total", 8, 0, {}), ("COM", "small", 1, 0, {}),
+    ]),
+    ("typescript", "a.ts"): ("class Shop {\n  owner: string;\n  #till: number;\n  constructor(owner: string) {\n    this.owner = owner;\n  }\n  static open(town: Town, n = 3): Shop {\n    return new Shop(`${this.owner} inn`);\n  }\n  #count(): number { return Math.round(this.#till); }\n}\n", [
+        ("CLASS", "Shop", 1, 1, {}), ("PROP", "owner", 2, 0, {"type": "string"}), ("PROP", "#till", 3, 0, {"type": "number", "scope": "private"}), ("TYPE", "string", 4, 1, {}), ("ARG", "owner", 4, 1, {"type": "string"}),
+        ("PROP", "owner", 5, 1, {"parent_symbol": "this"}), ("VAR", "owner", 5, 0, {}), ("FUNC", "open", 7, 1, {"type": "Shop", "modifier": "static"}), ("ARG", "town", 7, 1, {"type": "Town"}), ("ARG", "n", 7, 1, None), ("CALL", "Shop", 8, 0, {}),
+        ("PROP", "owner", 8, 1, {"parent_symbol": "this"}), ("STR", "inn", 8, 0, {}), ("FUNC", "#count", 10, 1, {"type": "number", "scope": "private"}), ("CALL", "round", 10, 0, {"parent_symbol": "Math"}), ("PROP", "#till", 10, 1, {"parent_symbol": "this"}),
+    ]),
+    ("go", "a.go"): ("package shop\n\ntype Item struct {\n\tName string\n}\n\nfunc (s *Shop) Price(first, second int, tag string) (int, error) {\n\tvar total int\n\treturn total, nil\n}\n", [
+        ("CLASS", "Item", 3, 1, {"scope": "public"}), ("PROP", "Name", 4, 1, {"type": "string", "parent_symbol": "Item"}), ("FUNC", "Price", 7, 1, {"scope": "public", "type": "(int, error)"}), ("ARG", "first", 7, 1, {"type": "int"}), ("ARG", "tag", 7, 1, {"type": "string"}), ("VAR", "total", 8, 1, {"type": "int"}),
+    ]),
+    ("rust", "a.rs"): ("pub struct Point { pub left: i32 }\nimpl Point {\n  pub fn norm(&self, scale: f64) -> f64 {\n    let sum: f64 = scale;\n    sum\n  }\n}\n", [
+        ("PROP", "left", 1, 1, {"type": "i32", "parent_symbol": "Point", "scope": "public"}), ("FUNC", "norm", 3, 1, {"type": "f64", "scope": "public"}), ("ARG", "scale", 3, 1, {"type": "f64"}), ("VAR", "sum", 4, 1, {"type": "f64"}),
+    ]),
+    ("php", "a.php"): ("<?php\nclass Shop {\n  private ?int $count;\n  public static function price(int $amount, $rate = 2): float { return $this->twice($amount); }\n}\n", [
+        ("PROP", "$count", 3, 1, {"type": "?int", "scope": "private"}), ("FUNC", "price", 4, 1, {"type": "float", "scope": "public", "modifier": "static"}), ("ARG", "$amount", 4, 1, {"type": "int"}), ("ARG", "$rate", 4, 1, {}), ("CALL", "twice", 4, 0, {"parent_symbol": "this"}),
+    ]),
+}
+
+
+@pytest.mark.parametrize("file", list(SHAPES))
+def test_lexer_attributes(file):
+    """Types, access, modifiers, parents and which rows define."""
+    code, want = SHAPES[file]
+    rows, error = extract_file("./", file[1], file[0], code)
+    assert not error
+    have = {}
+    for r in rows:
+        have.setdefault((r["context"], r["full_symbol"], r["line"], r["is_definition"]), []).append(r)
+    for context, name, line, defines, more in want:
+        if more is None:  # too short to be indexed
+            assert (context, name, line, defines) not in have
+            continue
+        found = have[context, name, line, defines]
+        assert any(all(r[k] == v for k, v in more.items()) for r in found), (name, more, found)
+    assert not any(r["full_symbol"] == "constructor" for r in rows)
+
+
 def test_index_and_watch(spark, tmp_path):
     tree, store = tmp_path / "tree", IndexStore(spark, f"file://{tmp_path}/store")
     (tree / "sub").mkdir(parents=True)
