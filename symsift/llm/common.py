@@ -70,17 +70,20 @@ def sequence_hash(codes: np.ndarray, start: np.ndarray, size: np.ndarray, seed:
 
     No polynomial: no structure of a stretch makes its hash predictable.
     """
-    order = np.argsort(-size, kind="stable")
-    first, left = start[order], size[order]
+    short = np.minimum(size, SHORT + 1).astype(np.int16)  # sorted by counting
+    order = np.argsort(-short, kind="stable")
+    first, left, short = start[order], size[order], -short[order]
     h = mix(left.astype(U64) + U64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK64))
-    longest = int(left[0]) if len(left) else 0
-    active = np.searchsorted(-left, -np.arange(min(longest, SHORT)), side="left")  # how many are longer than each place
-    for i, n in enumerate(active.tolist()):
-        g = h[:n]
-        g ^= codes[first[:n] + i]
+    longest = min(-int(short[0]), SHORT) if len(left) else 0
+    active = np.searchsorted(short, -np.arange(longest), side="left")  # how many are longer than each place
+    at = first.copy()
+    for n in active.tolist():
+        g, place = h[:n], at[:n]
+        g ^= codes[place]
         g *= U64(0xD6E8FEB86659FD93)
         g ^= g >> U64(32)
-    for j in range(int(np.searchsorted(-left, -SHORT, side="left"))):  # the few long ones
+        place += 1
+    for j in range(int(np.searchsorted(short, -SHORT, side="left"))):  # the few long ones
         h[j] ^= U64(xxhash.xxh3_64_intdigest(codes[first[j] + SHORT : first[j] + left[j]].tobytes(), seed & MASK64))
     out = np.empty(len(h), U64)
     out[order] = mix(h)
