@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +35,33 @@ _saved: list[str] = []
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession):
-    """Tables that were saved inside go at the end; only what was written elsewhere stays."""
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that were saved inside go at the end; only what was written elsewhere stays.
+
+    Gives a second ``save``, whose tables stay until the block around this one ends.
+    """
     at = len(_saved)
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = save(df, name)
+        kept.append(_saved.pop())
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         for path in _saved[at:]:
             discard(spark, path)
-        del _saved[at:]
+        _saved[at:] = kept
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one freed memory goes back to the system, as Python workers live on through later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -32,6 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 STRETCH, LEVEL, EVIDENCE = 1024, 6, 256
 MIN_MARGIN = 0.015
 
@@ -103,7 +105,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: dict[str, Column],
     src = docs.select(F.lit(0).alias("_"), body.alias("_text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("_ok"), *(c.alias(f"k{i}") for i, c in enumerate(keep.values())))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[3:])
     fixed = tuple(sorted(model.items()))
-    out = src.mapInArrow(lambda b: predict_rows(b, fixed, min_margin), f"{kinds}, lang_pred string, score double, rejected boolean")
+    out = src.mapInArrow(lambda b: released(predict_rows(b, fixed, min_margin)), f"{kinds}, lang_pred string, score double, rejected boolean")
     return out.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "lang_pred", "score", F.col("rejected"))
 
 

@@ -47,12 +47,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, U64, mix, ranges, save, sequence_hash
+from .common import MASK64, U64, mix, ranges, released, save, sequence_hash, tidy
 from .pieces import SPACE, char_classes, char_codes, chunks
 
 WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 1
 BLOCK = 4096
 CELLS = 1 << 17  # of each of the sketch's two tables
+TEXTS, PAIRS = 1000, 50_000  # signed, and sent on, at once
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +142,7 @@ def band_rows(batches: Iterator[pa.RecordBatch], words: int, weighted: bool, ban
     """(tid, text) -> (tid, bands); texts without a word have none."""
     for batch in batches:
         keys, texts = distinct_of(batch)
-        for at, part in chunks(texts):
+        for at, part in chunks(texts, most=TEXTS):  # a text has about as many darts however short it is
             text, element = elements(part, words, weighted)
             sig = dart_minhash(text, element, len(part), bands * rows).reshape(len(part), bands, rows)
             h = np.zeros((len(part), bands), U64)
@@ -222,7 +223,7 @@ def prefix_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words: in
 def candidate_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (s, i, j, own, tid, label, place, size), those of one (s, i, j) together -> pairs (a, b) that may be similar enough."""
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[7])
         _, label = np.unique([r[5] for r in rows], return_inverse=True)
         own, place, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 6, 7))
@@ -239,33 +240,35 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iter
                 p, q = sorted((rows[x][4], rows[k][4]))
                 a.append(p)
                 b.append(q)
-        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            if len(a) >= PAIRS or x == len(rows) - 1:
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a, b = [], []
 
     rows: list[tuple] = []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and rows[-1][:3] != r[:3]:
-                yield pairs(rows)
+                yield from pairs(rows)
                 rows = []
             rows.append(r)
     if rows:
-        yield pairs(rows)
+        yield from pairs(rows)
 
 
 def prefix_pairs(open_: DataFrame, words: int, weighted: bool, threshold: float) -> DataFrame:
     """(a, b): all pairs among texts (tid, label, z) of different labels that prefix filtering leaves."""
     counts = np.zeros(2 * CELLS, np.int64)
-    sums = open_.select("z").mapInArrow(lambda b: sketch_rows(b, words, weighted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = open_.select("z").mapInArrow(lambda b: released(sketch_rows(b, words, weighted)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # 2 * CELLS rows at most
     counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    rows = open_.select("tid", "label", "z").mapInArrow(lambda b: prefix_rows(b, counts, words, weighted, threshold), "s long, tid binary, label binary, place int, size int")
+    rows = open_.select("tid", "label", "z").mapInArrow(lambda b: released(prefix_rows(b, counts, words, weighted, threshold)), "s long, tid binary, label binary, place int, size int")
     rows = save(rows, "prefixes")
     mixed = rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high")
     cut = rows.join(mixed.select("s", "blocks"), "s").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "place", "size")
     cut = cut.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    return cut.mapInArrow(lambda b: candidate_pairs(b, threshold), "a binary, b binary").distinct()
+    return cut.mapInArrow(lambda b: released(candidate_pairs(b, threshold)), "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,18 +288,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, weighted: bool = False, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """((tid, label) of the texts that have a link, (a, b) the links found); tid is ``text_id`` of a text."""
+    with tidy(docs.sparkSession) as keep:
+        labels, links = _linked(docs, text, words, threshold, weighted, bands, rows, rounds)
+        return keep(labels, "labels"), keep(links, "links")
+
+
+def _linked(docs: DataFrame, text: str, words: int, threshold: float, weighted: bool, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """What ``classes`` gives, read from tables among those on the way."""
     src = docs.select(text_id(text).alias("tid"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed = src.mapInArrow(lambda b: band_rows(b, words, weighted, bands, rows), "tid binary, bands array<long>").dropDuplicates(["tid"])
-    members = save(signed.select("tid", F.explode("bands").alias("h")), "bands")
-    shared = members.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("rep")).where("n > 1")
-    members = save(members.join(shared, "h").select("h", "tid", "rep"), "buckets")
+    signed = src.mapInArrow(lambda b: released(band_rows(b, words, weighted, bands, rows)), "tid binary, bands array<long>").dropDuplicates(["tid"])
+    with tidy(docs.sparkSession) as keep:
+        members = save(signed.select("tid", F.explode("bands").alias("h")), "bands")
+        shared = members.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("rep")).where("n > 1")
+        members = keep(members.join(shared, "h").select("h", "tid", "rep"), "buckets")
     wanted = members.select("tid").distinct()
     texts = save(src.mapInArrow(packed, "tid binary, z binary").join(wanted, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
         za, zb = texts.toDF("a", "za"), texts.toDF("b", "zb")
         both = pairs.join(za, "a").join(zb, "b").select("a", "b", "za", "zb")
-        return both.mapInArrow(lambda x: check_pairs(x, words, weighted, threshold), "a binary, b binary")
+        return both.mapInArrow(lambda x: released(check_pairs(x, words, weighted, threshold)), "a binary, b binary")
 
     tried = save(members.where("tid != rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = save(checked(tried), "links")
@@ -319,7 +330,8 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words:
         else:  # all that is left across classes
             left = texts.join(open_.select("tid", "label").distinct(), "tid").select("tid", "label", "z")
             done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            new = save(prefix_pairs(save(left, "left"), words, weighted, threshold).join(done, ["a", "b"], "left_anti"), "pairs")
+            with tidy(docs.sparkSession) as keep:
+                new = keep(prefix_pairs(save(left, "left"), words, weighted, threshold).join(done, ["a", "b"], "left_anti"), "pairs")
             found = save(checked(new), "links")
             if found.limit(1).count() == 0:
                 return labels, links

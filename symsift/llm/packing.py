@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import released, save
 from .pieces import encoder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -288,7 +288,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     src = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     ids = ", ids array<int>" if keep_ids else ""
-    pieces = save(src.mapInArrow(lambda b: tokenise(b, tokenizer, end_id, capacity, keep_ids), f"id {kind}, {PIECES}{ids}"), "pieces")
+    pieces = save(src.mapInArrow(lambda b: released(tokenise(b, tokenizer, end_id, capacity, keep_ids)), f"id {kind}, {PIECES}{ids}"), "pieces")
     counts = save(pieces.groupBy("part", "length").agg((F.max("local_rank") + 1).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = places(improve(best_fit(histogram, capacity), capacity)[0])

@@ -120,11 +120,11 @@ class Split:
         return np.searchsorted(self.text, np.arange(len(self.texts) + 1))
 
 
-def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
-    """Whole texts, about ``limit`` characters together, with the number of the first."""
+def chunks(texts: list[str], limit: int = CHUNK, most: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts, about ``limit`` characters and ``most`` of them together, with the number of the first."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and (size + len(t) > limit or i - at == most):
             yield at, texts[at:i]
             at, size = i, 0
         size += len(t) + 1

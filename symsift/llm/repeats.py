@@ -43,10 +43,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, save
+from .common import U64, Rolling, mix, released, save, tidy
 
 WIDTH, GRAM, BLOCK_CONTEXTS = 200, 64, 2048
 SEGMENT = 1 << 20  # anchors' places take 20 bits
+TOGETHER = 1 << 18  # bytes of texts handled at once; a longer piece stands alone
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -140,7 +141,7 @@ def emit_runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Itera
         for key, data, times in distinct_texts(batch, width):
             for at in range(0, len(data) - width + 1, step):
                 piece = data[at : at + SEGMENT]
-                if size + len(piece) > SEGMENT:
+                if size and size + len(piece) > TOGETHER:
                     yield flush()
                     parts, meta, size = [], [], 0
                 parts.append(piece)
@@ -268,7 +269,7 @@ SPAN_SCHEMA = "g long, clip long, spans array<struct<a:int,b:int>>"
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def sort_blocks(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def sort_blocks(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int = TOGETHER) -> Iterator[pa.RecordBatch]:
     """Rows (g, clip, bytes) in order of g; whole groups together."""
     rows: list[tuple[int, int, bytes]] = []
     size = 0
@@ -333,13 +334,13 @@ def sorted_spans(cut: DataFrame, width: int, gram: int, block_contexts: int) ->
     found, origins = [], []
     while True:
         small = cut.where((F.col("contexts") > 1) & (F.col("contexts") <= block_contexts)).select("g", "clip", "bytes")
-        level = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: sort_blocks(b, width), SPAN_SCHEMA)
+        level = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: released(sort_blocks(b, width)), SPAN_SCHEMA)
         large = cut.where(F.col("contexts") > block_contexts).select(*cols)
         if large.limit(1).count() == 0:
             found.append(level)
             break
         found.append(save(level, "spans"))
-        split = save(large.mapInArrow(lambda b: halves(b, width, gram), HALF_SCHEMA), "halves")
+        split = save(large.mapInArrow(lambda b: released(halves(b, width, gram)), HALF_SCHEMA), "halves")
         origins.append(split.select("g", "clip", "from_g", "from_clip", "shift"))
         one = split.groupBy("g", "clip").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("lo", "hi", "place", "bytes")))  # equal rows but for their origin
         one = save(one, "clips")
@@ -439,25 +440,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     src = src.select("doc_id", *text_keys(F.col("text")), "text")
     id_type = src.schema["doc_id"].dataType.simpleString()
     texts = src.select("k1", "k2", "text")
-    runs = save(texts.mapInArrow(lambda b: emit_runs(b, width, gram), RUN_SCHEMA), "runs")
-
-    # what is repeated as a whole, and which anchors need their text
-    first = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "place")]  # of one row: all are merged in the same order
-    by_ctx = save(runs.groupBy("anchor", "ctx").agg(F.sum("copies").alias("copies"), *first), "contexts")
-    several = by_ctx.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    whole = by_ctx.where("copies > 1").select(F.col("anchor").alias("g"), F.col("ctx").alias("clip"), F.array(span(F.lit(0), F.col("n"))).alias("spans"))
-    asks = by_ctx.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "start", "n", "place", "contexts")).alias("wants"))
-    packed = texts.mapInArrow(lambda b: packed_texts(b, width), "k1 long, k2 long, z binary").dropDuplicates(["k1", "k2"])
-    cut = packed.join(asks, ["k1", "k2"]).select("z", "wants").mapInArrow(lambda b: cut_contexts(b, width), "g long, clip long, place int, contexts long, bytes binary")
-    cut = save(cut.withColumns({"lo": F.lit(0), "hi": F.lit(width - gram)}), "context_bytes")
-    blocks = sorted_spans(cut, width, gram, block_contexts)
-    found = save(whole.unionByName(blocks).select(F.col("g").alias("anchor"), F.col("clip").alias("ctx"), "spans"), "found")
-
-    moved = F.transform("spans", lambda s: span(F.col("start") + s["a"], F.col("start") + s["b"] - 1 + width))
-    spans = runs.join(found, ["anchor", "ctx"]).select("k1", "k2", F.explode(moved).alias("s"))
-    spans = save(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
+    with tidy(docs.sparkSession) as keep_spans:
+        runs = save(texts.mapInArrow(lambda b: released(emit_runs(b, width, gram)), RUN_SCHEMA), "runs")
+        with tidy(docs.sparkSession) as keep_found:
+            # what is repeated as a whole, and which anchors need their text
+            first = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "place")]  # of one row: all are merged in the same order
+            by_ctx = save(runs.groupBy("anchor", "ctx").agg(F.sum("copies").alias("copies"), *first), "contexts")
+            several = by_ctx.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+            whole = by_ctx.where("copies > 1").select(F.col("anchor").alias("g"), F.col("ctx").alias("clip"), F.array(span(F.lit(0), F.col("n"))).alias("spans"))
+            asks = by_ctx.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "start", "n", "place", "contexts")).alias("wants"))
+            packed = texts.mapInArrow(lambda b: released(packed_texts(b, width)), "k1 long, k2 long, z binary").dropDuplicates(["k1", "k2"])
+            cut = packed.join(asks, ["k1", "k2"]).select("z", "wants").mapInArrow(lambda b: released(cut_contexts(b, width)), "g long, clip long, place int, contexts long, bytes binary")
+            cut = save(cut.withColumns({"lo": F.lit(0), "hi": F.lit(width - gram)}), "context_bytes")
+            blocks = sorted_spans(cut, width, gram, block_contexts)
+            found = keep_found(whole.unionByName(blocks).select(F.col("g").alias("anchor"), F.col("clip").alias("ctx"), "spans"), "found")
+
+        moved = F.transform("spans", lambda s: span(F.col("start") + s["a"], F.col("start") + s["b"] - 1 + width))
+        spans = runs.join(found, ["anchor", "ctx"]).select("k1", "k2", F.explode(moved).alias("s"))
+        spans = keep_spans(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
     rows = src.mapInArrow(packed_rows, f"doc_id {id_type}, k1 long, k2 long, z binary").join(spans, ["k1", "k2"], "left")
-    return rows.select("doc_id", "z", "spans").mapInArrow(lambda b: cut_texts(b, as_text), f"doc_id {id_type}, {CUT_SCHEMA.format('string' if as_text else 'binary')}").withColumnRenamed("doc_id", id_col)
+    return rows.select("doc_id", "z", "spans").mapInArrow(lambda b: released(cut_texts(b, as_text)), f"doc_id {id_type}, {CUT_SCHEMA.format('string' if as_text else 'binary')}").withColumnRenamed("doc_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -427,6 +427,42 @@ def test_pipeline_ties(spark):
     assert kept[0] == kept[1] and sorted(tuple(r)[:4] for r in kept[0]) == [(5, text, "en", "a"), (7, None, "en", "a"), (9, "x", None, None)]
 
 
+def test_stages_leave_little_on_disk(spark, sf_dir):
+    """Before its result is written a stage has only those tables left that the result is read from."""
+    import corpus_pipeline as C
+    from symsift.llm import common
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage, names in ((C.minhash_dedup, ["labels", "links"]), (C.suffix_array_dedup, ["spans"])):
+        at = len(common._saved)
+        with common.tidy(spark):
+            assert stage(spark, docs, sf_dir).count()
+            assert [path.rpartition("/")[2] for path in common._saved[at:]] == names
+        assert len(common._saved) == at
+
+
+def test_stages_work_in_bounded_memory():
+    """Very many short texts, one large group of candidates, and many texts of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 8000
+    short = pa.record_batch([pa.array([i.to_bytes(16, "big") for i in range(n)]), pa.array([f"w{i}" for i in range(n)])], ["tid", "text"])
+    texts = pa.record_batch([pa.array(range(400)), pa.array(range(400)), pa.array([words(random.Random(i), 1000) for i in range(400)])], ["k1", "k2", "text"])
+    most = []
+    for rows in (near_dups.band_rows(iter([short]), 5, False, 24, 4), repeats.emit_runs(iter([texts]), 200, 64)):
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        most.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert most[0] < 100 and most[1] < 64, most
+    group = [(1, 0, 0, 0, i.to_bytes(16, "big"), i.to_bytes(16, "big"), 0, 10) for i in range(500)]
+    sizes = [b.num_rows for b in near_dups.candidate_pairs(iter([pa.record_batch([pa.array(c) for c in zip(*group, strict=True)], list("sijotlpn"))]), 0.8)]
+    assert sum(sizes) == 500 * 499 // 2 and max(sizes) <= near_dups.PAIRS + 500
+
+
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op5_chat_formatting"])
 def test_sql_twins(spark, sf_dir, name):
     import duckdb
