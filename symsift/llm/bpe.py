@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,37 @@ class Cuts:
         return free
 
 
+Spelled = tuple[pa.LargeBinaryArray, np.ndarray, pa.LargeBinaryArray]  # ids as decimals, a comma after each; their number; decoded bytes
+NOTHING = pa.array([], pa.large_binary())
+
+
+def stretches(data: bytes | memoryview, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """data[edges[0] : edges[1]], data[edges[1] : edges[2]] and so on, without a copy."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(data)])
+
+
+def edges_of(array: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+
+
+def values_of(array: pa.LargeBinaryArray) -> memoryview:
+    """All bytes of an array that does not share them with others."""
+    edges = edges_of(array)
+    return memoryview(array.buffers()[2] or b"")[edges[0] : edges[-1]]
+
+
+def views(array: pa.LargeBinaryArray, less: int = 0) -> Iterator[memoryview]:
+    """Each value, without its last ``less`` bytes."""
+    edges, data = edges_of(array).tolist(), memoryview(array.buffers()[2] or b"")
+    return (data[a : max(a, b - less)] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def grouped(array: pa.LargeBinaryArray, cut: np.ndarray) -> pa.LargeBinaryArray:
+    """The values cut[0] to cut[1], cut[1] to cut[2] and so on, each group joined."""
+    edges = edges_of(array)
+    return stretches(values_of(array), edges[cut] - edges[0])
+
+
 class DuckMerger:
     """Merges pieces of text by one rank file."""
 
@@ -133,44 +165,50 @@ class DuckMerger:
         """(ids as decimals joined by commas, their number, decoded bytes) of each piece."""
         if not pieces:
             return []
-        data = b"".join(pieces)
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        ids, n, decoded = self.spell(b"".join(pieces), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+        return [(x[:-1].decode(), k, y) for x, k, y in zip(ids.to_pylist(), n.tolist(), decoded.to_pylist(), strict=True)]
+
+    def spell(self, data: bytes, ends: np.ndarray) -> Spelled:
+        """The same for pieces that lie one after another, by their ends, as arrays; a comma after every id."""
         begin = np.flatnonzero(self.cuts.of(np.frombuffer(data, np.uint8), ends))
-        edges = [*begin.tolist(), len(data)]
-        parts = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        done = self._parts(list(dict.fromkeys(parts)))
-        out = []
-        cut = [0, *np.searchsorted(begin, ends).tolist()]
-        for a, b in zip(cut, cut[1:], strict=False):
-            got = [done[p] for p in parts[a:b]]
-            out.append(got[0] if b - a == 1 else (",".join([g[0] for g in got]), sum(g[1] for g in got), b"".join([g[2] for g in got])))
-        return out
-
-    def _parts(self, parts: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
-        out = {}
-        batch: list[bytes] = []
-        cost = 0
-        for p in sorted(parts, key=len):
-            if len(p) > LONG:
-                ids = self._heap(p)
-                out[p] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes_of[x] for x in ids))
-                continue
-            if cost + len(p) ** 2 > BATCH:
-                self._recurse(batch, out)
-                batch, cost = [], 0
-            batch.append(p)
-            cost += len(p) ** 2
-        if batch:
-            self._recurse(batch, out)
-        return out
-
-    def _recurse(self, batch: list[bytes], out: dict[bytes, tuple[str, int, bytes]]) -> None:
-        sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-        flat = np.frombuffer(b"".join(batch), np.uint8)
+        parts = stretches(data, np.append(begin, len(data))).dictionary_encode()
+        ids, n, decoded = self._parts(parts.dictionary)
+        cut = np.concatenate([[0], np.searchsorted(begin, ends)])
+        total = np.concatenate([[0], np.cumsum(n[parts.indices.to_numpy()])])[cut]
+        return grouped(ids.take(parts.indices), cut), np.diff(total), grouped(decoded.take(parts.indices), cut)
+
+    def _parts(self, parts: pa.LargeBinaryArray) -> Spelled:
+        sizes = np.diff(edges_of(parts))
+        order = np.argsort(sizes, kind="stable")
+        done = []
+        short = int(np.searchsorted(sizes[order], LONG, side="right"))
+        cost = np.cumsum(sizes[order[:short]] ** 2)
+        at = 0
+        while at < short:
+            stop = int(np.searchsorted(cost, (cost[at - 1] if at else 0) + BATCH, side="right"))
+            done.append(self._recurse(parts.take(pa.array(order[at:stop]))))
+            at = stop
+        for p in parts.take(pa.array(order[short:])).to_pylist():
+            ids = self._heap(p)
+            done.append((pa.array([("%d," * len(ids) % tuple(ids)).encode()], pa.large_binary()), np.array([len(ids)]), pa.array([b"".join([self.bytes_of[x] for x in ids])], pa.large_binary())))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        ids, n, decoded = zip(*done, strict=True) if done else ([NOTHING], [np.zeros(0, np.int64)], [NOTHING])
+        return pa.concat_arrays(ids).take(pa.array(back)), np.concatenate(n)[back], pa.concat_arrays(decoded).take(pa.array(back))
+
+    def _recurse(self, batch: pa.LargeBinaryArray) -> Spelled:
+        edges = edges_of(batch)
+        flat = np.frombuffer(values_of(batch), np.uint8)
+        sizes = np.diff(edges)
         self._table("init", k=pa.array(np.repeat(np.arange(len(batch)) * 1024, sizes) + ranges(sizes)), id=pa.array(self.single[flat]))
-        got = self.db.sql(ENCODE).to_arrow_table()
-        for w, ids, n, decoded in zip(*(c.to_pylist() for c in got.columns), strict=True):
-            out[batch[w]] = (ids, n, bytes.fromhex(decoded))
+        w, ids, n, decoded = (c.combine_chunks() for c in self.db.sql(ENCODE).to_arrow_table().columns)
+        order = pa.array(np.argsort(w.to_numpy()))
+        if len(order) != len(batch):
+            raise RuntimeError("a part came back without ids")
+        digits = decoded.cast(pa.large_binary()).take(order)
+        none, comma = (pa.scalar(x, pa.large_string()) for x in ("", ","))
+        ids = pc.binary_join_element_wise(ids.cast(pa.large_string()).take(order), none, comma).cast(pa.large_binary())
+        return ids, n.to_numpy()[order.to_numpy()], stretches(bytes.fromhex(str(values_of(digits), "ascii")), edges_of(digits) // 2)
 
     def _heap(self, piece: bytes) -> list[int]:
         """Leftmost pair of least rank first, with a heap over a linked list."""
@@ -207,30 +245,35 @@ class DuckMerger:
         return [ids[i] for i in range(n) if alive[i]]
 
 
-class PieceTexts:
-    """Decimal ids and decoded bytes of the pieces met so far."""
+class PieceTexts(Merged):
+    """Decimal ids and decoded bytes of the pieces met so far; bounded by their number and by their characters."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 500_000):
         self.duck = DuckMerger(path)
-        self.ids: list[str] = []
-        self.count: list[int] = []
-        self.decoded: list[bytes] = []
-        self.merged = Merged(self._merge, keep=300_000)
-
-    def _merge(self, pieces: list[str]) -> list[list[int]]:
+        super().__init__(self.duck.merge, keep)
+
+    def clear(self) -> None:
+        super().clear()
+        self.ids = self.decoded = NOTHING
+        self.count = np.zeros(0, np.int64)
+
+    def made(self, split: Split, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ids, count and decoded instead of ids."""
+        chars, size = split.flat(new)
+        data = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        ids, n, decoded = self.duck.spell(data, np.cumsum(width)[np.cumsum(size) - 1])
         at = len(self.ids)
-        for ids, n, decoded in self.duck.merge([p.encode("utf-8", "surrogatepass") for p in pieces]):
-            self.ids.append(ids)
-            self.count.append(n)
-            self.decoded.append(decoded)
-        return [[at + i] for i in range(len(pieces))]
+        self.ids, self.decoded = pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.decoded, decoded])
+        self.count = np.concatenate([self.count, n])
+        return np.arange(at, len(self.ids)), np.ones(len(new), np.int64)
 
-    def of(self, split: Split) -> list[int]:
-        if len(self.ids) > self.merged.keep:
-            self.merged.clear()
-            self.ids, self.count, self.decoded = [], [], []
-        first, _ = self.merged.of(split)
-        return self.merged.flat[first][split.kind].tolist()
+    def places(self, split: Split) -> np.ndarray:
+        """Of every piece of the texts, in ids, count and decoded."""
+        if len(self.chars) > 16 * self.keep:
+            self.clear()
+        first, _ = self.of(split)
+        return self.flat[first][split.kind]
 
 
 @functools.cache
@@ -244,18 +287,15 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Ite
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for at, part in chunks(texts):
             split = Split(part)
-            which = known.of(split)
-            ids, decoded, count = known.ids, known.decoded, np.array(known.count, np.int64)
-            total = np.concatenate([[0], np.cumsum(count[which])]) if which else np.zeros(1, np.int64)
+            which = known.places(split)
             cut = split.bounds()
-            n = total[cut[1:]] - total[cut[:-1]]
-            cut = cut.tolist()
-            joined = [",".join([ids[i] for i in which[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
-            back = [b"".join([decoded[i] for i in which[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
+            n = np.diff(np.concatenate([[0], np.cumsum(known.count[which])])[cut])
+            which = pa.array(which)
+            joined, back = grouped(known.ids.take(which), cut), grouped(known.decoded.take(which), cut)
             if full:
-                tail = [pa.array([[int(x) for x in j.split(",")] if j else [] for j in joined], pa.list_(pa.int32())), pa.array(back, pa.binary())]
+                tail = [pa.array([[int(x) for x in j.split(b",")[:-1]] for j in joined.to_pylist()], pa.list_(pa.int32())), back.cast(pa.binary())]
             else:
-                tail = [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in ([j.encode() for j in joined], back)]
+                tail = [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (views(joined, 1), views(back))]
             yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), *tail], ["id", "n", "x", "y"])
 
 

@@ -194,6 +194,12 @@ class Merged:
         at = np.minimum(np.searchsorted(self.hash, want), len(self.hash) - 1)
         return at, self.hash[at] == want
 
+    def made(self, split: Split, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of some kinds, one after another, and how many each has."""
+        ids = self.merge(split.different(new))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
     def of(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         """(first, size) in ``flat`` for each kind of piece; merges those not seen yet."""
         if len(self.hash) > self.keep:
@@ -208,14 +214,12 @@ class Merged:
             have = np.zeros(len(want), bool)
         new = np.flatnonzero(~have)
         if len(new):
-            ids = self.merge(split.different(new))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+            flat, size = self.made(split, new)
             chars, char_size = split.flat(new)
             first, char_first = np.cumsum(size) - size + len(self.flat), np.cumsum(char_size) - char_size + len(self.chars)
             self.flat, self.chars = np.concatenate([self.flat, flat]), np.concatenate([self.chars, chars])
             hashes = np.concatenate([self.hash, want[new]])
-            order = np.argsort(hashes)
+            order = np.argsort(hashes, kind="stable")  # two sorted runs
             self.hash = hashes[order]
             for name, more in (("first", first), ("size", size), ("char_first", char_first), ("char_size", char_size)):
                 setattr(self, name, np.concatenate([getattr(self, name), more])[order])

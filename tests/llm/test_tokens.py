@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -237,3 +239,44 @@ def test_duckdb_bpe(spark, sf_dir):
     full = bpe.encode(df, MULTI).collect()
     assert sorted(bytes(r.decoded) for r in full) == sorted((t or "").encode() for t in texts)
     assert bpe.encode(df.limit(0), MULTI).count() == 0
+
+
+def test_pieces_are_not_handled_one_by_one():
+    """Operator 9 makes fewer calls from Python than it meets different pieces, and gives what the library gives."""
+    random.seed(9)
+    syllables = ["en", "heit", "ción", "ver", "th", "ü", "ing", "qu", "ao", "er", "7", "中"]
+    texts = [" ".join("".join(random.choices(syllables, k=random.randint(1, 6))) for _ in range(2000)) for _ in range(10)] + ["", None]
+    different = {p for t in texts for p in regex.findall(P.PATTERN, t or "")}
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    list(bpe.encode_rows(iter([pa.record_batch([pa.array([0]), pa.array(["some words"])], ["id", "text"])]), MULTI, False))  # tables are made
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        (got,) = bpe.encode_rows(iter([batch]), MULTI, False)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(different)
+    multi = reference()
+    for i, n, ids, decoded in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        text = texts[i] or ""
+        want = multi.encode_ordinary(text)
+        assert (n, ids, decoded) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("keep", [1, 40, 10_000])
+def test_known_pieces_are_bounded(keep):
+    """Few or many pieces remembered: the same ids, and the tables start afresh."""
+    random.seed(3)
+    known, multi = bpe.PieceTexts(MULTI, keep=keep), reference()
+    for _ in range(12):
+        texts = [" ".join(random.choices(["word", "Wort", "é" * 3, "中文字", "x" * 300, "12"], k=8)) + str(random.random()) for _ in range(5)] + [""]
+        which = known.places(pieces.Split(texts))
+        ids = b"".join(known.ids[i].as_py() for i in which)
+        assert ids == b"".join(b"%d," % x for t in texts for x in multi.encode_ordinary(t))
+        assert b"".join(known.decoded[i].as_py() for i in which) == "".join(texts).encode()
+        assert len(known.ids) == len(known.decoded) == len(known.count) <= keep + 200
