@@ -95,6 +95,11 @@ def pattern_ids(patterns: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*(F.when(matches("symbol", p, True), F.lit(i)) for i, p in enumerate(patterns))))
 
 
+def difference(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct symbols of rows that the others don't have; both sides are reduced before anything is joined."""
+    return rows.select("symbol").distinct().join(others.select("symbol").distinct(), "symbol", "left_anti")
+
+
 def same_line(base: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     """Rows of lines on which every pattern occurs: one shuffle on the line's key instead of a join per pattern."""
     hit = base.withColumn("_p", pattern_ids(patterns)).where(F.size("_p") > 0)

@@ -183,7 +183,7 @@ on_index("o7_busiest_files", lambda ci: C.busiest_files(ci_th(ci)), f"SELECT {FI
 on_index("o2_file_list", lambda ci: S.files(ci, parse_command("oner%")), f"SELECT DISTINCT {FILE} FROM ci WHERE symbol LIKE 'oner%'")
 on_index("u1_intersect", lambda ci: ci.where("symbol LIKE 'an%'").select("directory", "filename", "line").intersect(ci.where("symbol LIKE 'th%'").select("directory", "filename", "line")), f"SELECT {FILE}, line FROM ci WHERE symbol LIKE 'an%' INTERSECT SELECT {FILE}, line FROM ci WHERE symbol LIKE 'th%'")
 on_index("u2_union_all", lambda ci: ci.where("context = 'FUNC'").select("symbol").unionByName(ci.where("context = 'CLASS'").select("symbol")).groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM (SELECT symbol FROM ci WHERE context = 'FUNC' UNION ALL SELECT symbol FROM ci WHERE context = 'CLASS') GROUP BY symbol")
-on_index("u6_difference", lambda ci: ci.where("context = 'VAR'").select("symbol").subtract(ci.where("context = 'ARG'").select("symbol")), "SELECT symbol FROM ci WHERE context = 'VAR' EXCEPT SELECT symbol FROM ci WHERE context = 'ARG'")
+on_index("u6_difference", lambda ci: S.difference(ci.where("context = 'VAR'"), ci.where("context = 'ARG'")), "SELECT symbol FROM ci WHERE context = 'VAR' EXCEPT SELECT symbol FROM ci WHERE context = 'ARG'")
 on_tables("u7_required_sets", lambda l: E.required(l, "l_orderkey", "l_returnflag", ["A", "N"]), "SELECT l_orderkey, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) = 2 AS all_there, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) AS some FROM lineitem GROUP BY 1", "lineitem")
 on_tables("u8_key_union", lambda r, n: E.key_union(r.select(F.col("r_name").alias("name"), F.lit(1).alias("region")), n.select(F.col("n_name").alias("name"), F.lit(1).alias("nation"))), "SELECT r_name AS name, 1 AS region, NULL::INTEGER AS nation FROM region UNION ALL SELECT n_name, NULL, 1 FROM nation", "region", "nation")
 

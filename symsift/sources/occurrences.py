@@ -5,38 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symsift.functions.text import STOPWORDS, clean_word, search_key
+from symsift.functions.text import CLEAN, STOPWORDS, clean_word
 from symsift.schema import STORED
 from symsift.storage import scratch
 
 _built: dict[tuple[str, str], str] = {}
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Words as occurrences: one pass over the lines, one shuffle for the class spans.
+_KEPT = CLEAN[:-2] + " -]"  # spaces stay as well, so that a line is cleaned at once
+_fits = lambda c: (F.length(c) >= 2) & ~F.lower(c).isin(*STOPWORDS)
+_key = lambda c: F.rtrim(F.lower(c), F.lit(".,!?:;"))  # noqa: E731  search_key of a cleaned word, which is ASCII
 
-    Everything that a line decides (its head word, whether it opens a class) is
-    computed before words are exploded, so no join is needed.
-    """
-    lines = docs.select("doc_id", "lang", "source", F.size(F.split("text", "\n")).alias("last"), F.posexplode(F.split("text", "\n")).alias("pos", "x"))
-    words = lines.select("doc_id", "lang", "source", "last", (F.col("pos") + 1).alias("line"), F.split(F.trim("x"), r"\s+").alias("words"))
-    first = clean_word(F.col("words")[0])
-    fits = lambda c: (F.length(c) >= 2) & ~F.lower(c).isin(*STOPWORDS)
-    words = words.withColumn("head", F.when(fits(first), search_key(first)).otherwise("")).withColumn("opens", fits(first) & (F.size("words") <= 3))
-    later = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    words = words.withColumn("stop", F.coalesce(F.min(F.when(F.col("opens"), F.col("line"))).over(later) - 1, F.col("last")))
-    w = words.select("*", F.size("words").alias("n"), F.posexplode("words").alias("at", "raw")).withColumn("w", F.col("at") + 1).where("raw != ''")
-    w = w.withColumn("full_symbol", clean_word(F.col("raw"))).where(fits(F.col("full_symbol")))
-    context = (
-        F.when((F.col("n") <= 3) & (F.col("w") == 1), "CLASS").when(F.col("w") == 1, "FUNC").when(F.col("raw").endswith(","), "ARG")
-        .when(F.col("raw").endswith("."), "CALL").when(F.col("w") % 2 == 0, "VAR").otherwise("COM")
-    )
-    w = w.withColumn("context", context).withColumn("symbol", search_key(F.col("full_symbol")))
-    stop = F.when(F.col("context") == "CLASS", F.col("stop")).when(F.col("context") == "FUNC", F.col("line"))
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, last, line, x): outer, as Spark would else split once more to test for emptiness."""
+    xs = docs.select("doc_id", "lang", "source", F.split("text", "\n").alias("xs")).select("*", F.size("xs").alias("last"))
+    lines = xs.select("doc_id", "lang", "source", "last", F.concat(F.lit("./"), "lang", F.lit("/")).alias("directory"), F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"), F.posexplode_outer("xs").alias("pos", "x"))
+    return lines.withColumn("line", F.col("pos") + 1)
+
+
+def _rows(w: DataFrame) -> DataFrame:
+    """The table's columns of words that have their line, number, context, head and stop."""
     is_any = lambda *c: F.col("context").isin(*c)
+    w, stop = w.withColumn("symbol", _key(F.col("full_symbol"))), F.col("stop")
     return w.select(
-        "symbol", F.concat(F.lit("./"), "lang", F.lit("/")).alias("directory"), F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"),
-        F.col("line").cast("int").alias("line"), "context", "full_symbol",
+        "symbol", "directory", "filename", F.col("line").cast("int").alias("line"), "context", "full_symbol",
         F.when(stop.isNotNull(), F.concat("line", F.lit(":0 - "), stop, F.lit(":0"))).otherwise("").alias("source_location"),
         F.when(is_any("ARG", "CALL", "VAR"), F.col("head")).otherwise("").alias("parent_symbol"),
         F.when(F.substring("full_symbol", 1, 1).between("A", "Z"), "public").otherwise("private").alias("scope"), F.col("lang").alias("namespace"),
@@ -48,6 +41,41 @@ def from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def from_documents(docs: DataFrame) -> DataFrame:
+    """Words as occurrences: words of classes and all others are made apart.
+
+    What a line decides (its head word, its cleaned words) is computed before
+    words are exploded, so the others need no join, shuffle or sort.  Only the
+    words that open a class are shuffled, to find where the next one begins.
+    """
+    lines = _lines(docs)
+    # any run of white space as one space, so that words and cleaned words are split alike
+    lines = lines.withColumn("x", F.regexp_replace(F.trim("x"), r"\s{2,}|[^\S ]", " "))
+    words = lines.select("*", F.split("x", " ").alias("words"), F.split(F.regexp_replace("x", _KEPT, ""), " ").alias("clean"))
+    first = F.col("clean")[0]
+    words = words.select("directory", "filename", "lang", "line", "words", "clean", F.size("words").alias("n"), F.when(_fits(first), _key(first)).otherwise("").alias("head"))
+    w = words.select("directory", "filename", "lang", "line", "n", "clean", "head", F.posexplode_outer("words").alias("at", "raw")).withColumn("w", F.col("at") + 1)
+    w = w.where("raw != ''").withColumn("full_symbol", F.get("clean", F.col("at"))).where(_fits(F.col("full_symbol")) & ~((F.col("n") <= 3) & (F.col("w") == 1)))
+    context = F.when(F.col("w") == 1, "FUNC").when(F.col("raw").endswith(","), "ARG").when(F.col("raw").endswith("."), "CALL").when(F.col("w") % 2 == 0, "VAR").otherwise("COM")
+    others = w.withColumn("context", context).withColumn("stop", F.when(F.col("w") == 1, F.col("line")))
+    return _rows(others).unionAll(_rows(_classes(docs)))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """First words of lines of three words at most; a class ends before the document's next one.
+
+    The least line after each is a running minimum from the end, in one pass.
+    """
+    short = F.split(F.trim("x"), r"\s+", 4)
+    c = _lines(docs).where(F.size(short) <= 3).select("doc_id", "lang", "source", "last", "line", clean_word(short[0]).alias("full_symbol")).where(_fits(F.col("full_symbol")))
+    later = Window.partitionBy("doc_id").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("stop", F.coalesce(F.min("line").over(later) - 1, F.col("last")))
+    return c.select(
+        F.concat(F.lit("./"), "lang", F.lit("/")).alias("directory"), F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"),
+        "lang", "line", "full_symbol", F.lit("CLASS").alias("context"), F.lit("").alias("head"), F.lit(1).alias("w"), "stop",
+    )
+
+
 def with_files(ci: DataFrame) -> DataFrame:
     """The table with one FILE row per file and the last long word of long lines as IMP, for tables of contents."""
     base = [n for n, _ in STORED]
@@ -66,7 +94,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _built:
         path = scratch(spark, "occurrences")
         rows = from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-        rows.sortWithinPartitions("directory", "filename", "line", "seq").write.parquet(path)
+        rows.write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key])
 

@@ -16,6 +16,7 @@ from symsift.operators import stats as A
 from symsift.plans import registry
 from symsift.plans.spec import CommandError, defaults_from_config, parse_command
 from symsift.schema import SCHEMA
+from symsift.sources import occurrences as O
 from symsift.sources.extract import extract, extract_file
 from symsift.sources.files import IndexStore, Walk, glob_regex, read_tree
 
@@ -249,3 +250,57 @@ def test_bootstrap_draws(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(A, name, lambda *a, f=operator, **b: taken.append(inspect.signature(f).bind(*a, **b).arguments["times"]) or f(*a, **b))
     assert all(registry.QUERIES[name](spark, sf_dir).count() for name in ("a31_bootstrap", "a32_log_ratio"))
     assert taken == [10_000, 10_000]
+
+
+def exchanges(spark, df):
+    """Runs a plan without adaptive changes: the records that each of its exchanges wrote."""
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        query = df.select("*")._jdf.queryExecution()  # planned anew
+        query.toRdd().count()
+        left, found = [query.executedPlan()], []
+        while left:
+            node = left.pop()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        return found
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+
+
+def test_table_shuffles_class_words_alone(spark, sf_dir):
+    """Lines and words stay where they are read; only words that open a class are dealt by document."""
+    rows = O.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert exchanges(spark, rows) == [rows.where("context = 'CLASS'").count()]
+
+
+def test_table_is_stored_unsorted(spark, sf_dir, monkeypatch):
+    """A sort of all words spills where they don't fit into memory."""
+    frame = type(spark.range(0))
+    for name in ("sortWithinPartitions", "orderBy", "sort"):
+        monkeypatch.setattr(frame, name, lambda *a, name=name: pytest.fail(name))
+    assert O.occurrences(spark, f"{sf_dir}/").count() == O.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
+
+
+def test_class_spans_of_odd_lines(spark):
+    """White space of every kind parts words, and a class ends before the next one or with the text."""
+    text = "Open it\n\tab cd\nxx  yy\tzz, ww. vv\n,\n Next\t\n[,] qq rr ss\nLast"
+    rows = O.from_documents(spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")).orderBy("seq").collect()
+    assert [(r.symbol, r.line, r.seq % 10, r.context, r.span_end) for r in rows] == [
+        ("open", 1, 1, "CLASS", 4), ("it", 1, 2, "VAR", None), ("ab", 2, 2, "VAR", None), ("cd", 2, 3, "COM", None), ("xx", 3, 1, "FUNC", 3), ("yy", 3, 2, "VAR", None), ("zz", 3, 3, "ARG", None), ("ww", 3, 4, "CALL", None), ("vv", 3, 5, "COM", None),
+        ("next", 5, 1, "CLASS", 6), ("[]", 6, 1, "FUNC", 6), ("qq", 6, 2, "VAR", None), ("rr", 6, 3, "COM", None), ("ss", 6, 4, "VAR", None), ("last", 7, 1, "CLASS", 7),
+    ]
+
+
+def test_difference_joins_distinct_symbols(spark, monkeypatch):
+    """No exchange gets a symbol once for each of its rows."""
+    ci = rows_of(spark, [{"symbol": s, "context": c} for s, c in (("alpha", "VAR"), ("beta", "VAR"), ("beta", "ARG")) for _ in range(400)])
+    monkeypatch.setattr(registry, "occurrences", lambda *_: ci)
+    got = registry.QUERIES["u6_difference"](spark, "")
+    assert [r.symbol for r in got.collect()] == ["alpha"]
+    sent = exchanges(spark, got)
+    assert sent and sum(sent) <= 3 * ci.rdd.getNumPartitions()
