@@ -95,6 +95,11 @@ def pattern_ids(patterns: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*(F.when(matches("symbol", p, True), F.lit(i)) for i, p in enumerate(patterns))))
 
 
+def matched(rows: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    """Rows that match any pattern, with the numbers of those they match as _p; arrays are made for no others."""
+    return rows.where(matches_any("symbol", list(patterns), True)).withColumn("_p", pattern_ids(patterns))
+
+
 def difference(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Distinct symbols of rows that the others don't have; both sides are reduced before anything is joined."""
     return rows.select("symbol").distinct().join(others.select("symbol").distinct(), "symbol", "left_anti")
@@ -102,7 +107,7 @@ def difference(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def same_line(base: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     """Rows of lines on which every pattern occurs: one shuffle on the line's key instead of a join per pattern."""
-    hit = base.withColumn("_p", pattern_ids(patterns)).where(F.size("_p") > 0)
+    hit = matched(base, patterns)
     lines = hit.groupBy(*LINE).agg(F.array_distinct(F.flatten(F.collect_set("_p"))).alias("_all")).where(F.size("_all") == len(patterns)).select(*LINE)
     return hit.join(lines, LINE, "left_semi").drop("_p")
 
@@ -121,7 +126,7 @@ def proximity(ci: DataFrame, base: DataFrame, patterns: tuple[str, ...], reach:
     file is many keys, not one.
     """
     width = 2 * reach + 1
-    hit = base.withColumn("_p", pattern_ids(patterns)).where(F.size("_p") > 0)
+    hit = matched(base, patterns)
     if mode == "web":
         marks = hit.select(*FILE, F.col("line").alias("_l"), F.explode("_p").alias("_q")).distinct().withColumn("_b", F.floor(F.col("_l") / width))
         lines = hit.select(*LINE).distinct()
