@@ -5,11 +5,16 @@ from __future__ import annotations
 import math
 import random
 import statistics
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symsift.functions.text import any_of
+from symsift.storage import scratch
+
 
 def exclusive_quantile(values: Column, q: float) -> Column:
     """Position q * (n + 1) of a sorted array, between neighbours in proportion, kept inside."""
@@ -23,27 +28,54 @@ def exclusive_quantile(values: Column, q: float) -> Column:
 def group_summary(rows: DataFrame, arm: str, value: str) -> DataFrame:
     """n, mean, median, inclusive and exclusive quartiles, spread and extremes of each arm.
 
-    Quartiles come from counts per value, so a group is never held as a list.
+    Quantiles come from counts per value in order, so neither a group nor its
+    different values are ever held in one task.
     """
     v = F.col(value)
     basic = rows.groupBy(arm).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.9).alias("p90"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"),
         F.sum(v).alias("total"), F.stddev_pop(v).alias("pstdev"), F.stddev_samp(v).alias("stdev"), F.exp(F.avg(F.when(v > 0, F.ln(v)))).alias("geomean"),
     )
-    return basic.join(exclusive_quartiles(rows, arm, value), arm)
+    found = quantiles(rows, [arm], value, {"median": 0.5, "p90": 0.9}, {"q1": 0.25, "q3": 0.75})
+    return basic.join(found, arm).select(arm, "n", "mean", "median", "p90", "low", "high", "total", "pstdev", "stdev", "geomean", "q1", "q3")
 
 
 def exclusive_quartiles(rows: DataFrame, arm: str, value: str) -> DataFrame:
-    counts = rows.where(F.col(value).isNotNull()).groupBy(arm, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(arm).orderBy("v")
-    ranked = counts.select(arm, "v", "c", F.sum("c").over(order).alias("last"), F.sum("c").over(Window.partitionBy(arm)).alias("n"))
-    out = []
-    for name, q in (("q1", 0.25), ("q3", 0.75)):
-        at = F.lit(q) * (F.col("n") + 1)
-        j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(at)))
-        held = lambda k: (F.col("last") >= k) & (F.col("last") - F.col("c") < k)
-        out.append((F.max(F.when(held(j), F.col("v"))) * F.max(1 - (at - j)) + F.max(F.when(held(j + 1), F.col("v"))) * F.max(at - j)).alias(name))
-    return ranked.groupBy(arm).agg(*out)
+    return quantiles(rows, [arm], value, {}, {"q1": 0.25, "q3": 0.75})
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, inclusive: dict[str, float], exclusive: dict[str, float] | None = None) -> DataFrame:
+    """Exact quantiles of each group, at position q * (n - 1) + 1 (inclusive) or q * (n + 1), kept inside, of its values in order.
+
+    Counts per value are sorted over all machines and stored with the number of
+    their part, so a part's rows are the same whenever it is read.  A table of
+    the parts' totals tells which parts hold a wanted rank; only these, eight a
+    group here, are read on, each in a task of its own.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    path = scratch(rows.sparkSession, "counts")
+    counts.orderBy(*by, "v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    totals = stored.groupBy(*by, "_part").agg(F.sum("c").alias("_c"))
+    group = Window.partitionBy(*by)
+    totals = totals.select(*by, "_part", "_c", (F.sum("_c").over(group.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(group).alias("n"))
+    places, out = [], []
+    for kinds, offset in ((inclusive, -1), (exclusive or {}, 1)):
+        for name, q in kinds.items():
+            at = F.lit(q) * (F.col("n") + offset) + (1 if offset < 0 else 0)
+            low = F.floor(at) if offset < 0 else F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(at)))
+            places += [low, low + 1]
+            held = lambda k: F.max(F.when((F.col("_last") >= k) & (F.col("_last") - F.col("c") < k), F.col("v")))
+            part = F.max(at - low)
+            value_at = held(low) * (1 - part) + held(low + 1) * part
+            out.append((F.when(part == 0, held(low)).otherwise(value_at) if offset < 0 else value_at).alias(name))
+    holds = [(F.col("_before") < k) & (k <= F.col("_before") + F.col("_c")) for k in places]
+    wanted = totals.where(any_of(holds)).drop("_c")
+    order = Window.partitionBy(*by, "_part").orderBy("v")
+    known = stored.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_part").alias("_p"), "v", "c")
+    same = [F.col(f"_{b}").eqNullSafe(F.col(b)) for b in by]  # null is a group as well
+    ranked = known.join(wanted, reduce(and_, same, F.col("_p") == F.col("_part"))).withColumn("_last", F.col("_before") + F.sum("c").over(order))
+    return ranked.groupBy(*by).agg(*out)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

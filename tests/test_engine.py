@@ -3,6 +3,7 @@
 import inspect
 import math
 import os
+import statistics
 import time
 from collections import Counter
 
@@ -304,3 +305,25 @@ def test_difference_joins_distinct_symbols(spark, monkeypatch):
     assert [r.symbol for r in got.collect()] == ["alpha"]
     sent = exchanges(spark, got)
     assert sent and sum(sent) <= 3 * ci.rdd.getNumPartitions()
+
+
+def test_quantiles_of_parts(spark):
+    """Exact over many parts, with ties, null groups and single values; no aggregate or window holds a group's different values."""
+    data = [("a", float((i * 7919) % 1009)) for i in range(3000)] + [("b", 5.0)] * 500 + [("c", 1.5), ("d", None)] + [(None, float(i)) for i in range(10)]
+    df = spark.createDataFrame(data, "arm string, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.arm: r for r in A.quantiles(df, ["arm"], "v", {"x": 0.0, "m": 0.5, "p": 0.9, "y": 1.0}, {"q": 0.25}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert set(got) == {"a", "b", "c", None}
+    for arm, r in got.items():
+        xs = sorted(v for a, v in data if a == arm and v is not None)
+        for name, q in (("x", 0.0), ("m", 0.5), ("p", 0.9), ("y", 1.0)):
+            at = q * (len(xs) - 1)
+            low, high = xs[math.floor(at)], xs[math.ceil(at)]
+            assert abs(r[name] - (low + (high - low) * (at - math.floor(at)))) < 1e-9, (arm, name)
+        if len(xs) > 1:
+            assert r.q == pytest.approx(statistics.quantiles(xs, n=4)[0])
+    plan = A.group_summary(df, "arm", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
